@@ -6,19 +6,75 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from leadforge.llm.common import table
+from leadforge.llm.exact import exact_groups
+from leadforge.llm.mixing import assign
+from leadforge.llm.ngrams import similar_groups
+from leadforge.llm.pieces import encoded
 from leadforge.llm.quality import quality_verdicts
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assign(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_groups(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), outputs=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_exact_dedup": op3_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source
+), r AS (
+  SELECT *, (sum(source_size) OVER () * 150)::DOUBLE / 100 - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS open,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER o AS i
+  FROM s WINDOW o AS (ORDER BY (2 * source_size)::DOUBLE / weight, source NULLS LAST)
+), level AS (
+  SELECT open, rest FROM r WHERE open * weight / rest <= 2 * source_size ORDER BY i LIMIT 1
+), t AS (
+  SELECT source, source_size, coalesce(least(2 * source_size::DOUBLE, (SELECT open FROM level) * weight / (SELECT rest FROM level)), 2 * source_size::DOUBLE) AS target FROM r
+), p AS (
+  SELECT doc_id, size, source_size, target,
+         (sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(floor(target + 0.5)::BIGINT - start, size)) + greatest(0, least(floor(target + 0.5)::BIGINT - source_size - start, size)))::BIGINT AS taken
+FROM p""",
+    "op3_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h)""",
     "op8_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from leadforge.llm.chat import formatted
 from leadforge.llm.common import table
 from leadforge.llm.exact import exact_groups
 from leadforge.llm.mixing import assign
@@ -15,6 +16,7 @@ from leadforge.llm.ngrams import similar_groups
 from leadforge.llm.pages import main_text
 from leadforge.llm.pieces import encoded
 from leadforge.llm.quality import quality_verdicts
+from leadforge.llm.tokens import token_counts
 from leadforge.llm.toxicity import toxicity
 from leadforge.llm.warc import round_trip
 
@@ -42,6 +44,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), outputs=False)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted(table(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_text(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
     "op8_quality_rules": op8_quality_rules,
@@ -67,6 +79,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": r"""
+WITH r AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), h AS (
+  SELECT *, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY conv_id ORDER BY i) AS p FROM r
+), ends AS (SELECT min(conv_id) AS conv_id, p FROM h WHERE i = n GROUP BY p),
+keep AS (SELECT conv_id FROM ends WHERE p NOT IN (SELECT p FROM h WHERE i < n))
+SELECT conv_id, (i - 1) // 256 AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
+FROM h SEMI JOIN keep USING (conv_id) GROUP BY conv_id, part""",
     "op2_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents

@@ -43,6 +43,8 @@ from leadforge.llm.components import components
 CHUNK_SETS, CHUNK_GRAMS = 800, 1_000_000
 #: Upper ends of size classes grow by this factor.
 CLASS_GROWTH = 1.5
+#: Bits of the map of met segments, which every task gets (16 MB, whatever the input), and of one of its blocks.
+MAP_BITS, MAP_BLOCK_BITS = 27, 15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -200,6 +202,37 @@ def _describe(n: int, percent: int):
     return describe
 
 
+def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << MAP_BLOCK_BITS, bool)
+    bits[pdf["bit"]] = True
+    return pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(bits).tobytes()]})
+
+
+def segment_map(met: DataFrame) -> np.ndarray:
+    """A bit for the leading MAP_BITS bits of every met segment, packed; of a fixed size."""
+    lead = F.shiftrightunsigned("segment", 64 - MAP_BITS)
+    bits = met.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit"))
+    out = np.zeros((1 << (MAP_BITS - MAP_BLOCK_BITS), 1 << (MAP_BLOCK_BITS - 3)), np.uint8)
+    for row in bits.groupBy("block").applyInPandas(_map_block, "block int, bits binary").toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _perhaps_met(shared):
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for pdf in batches:
+            counts = pdf["segments"].map(len).to_numpy()
+            if not counts.sum():
+                continue
+            segment = np.concatenate(pdf["segments"].to_numpy()).astype(np.int64)
+            lead = segment.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            hit = (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            yield pd.DataFrame({"nid": np.repeat(pdf["nid"].to_numpy(), counts)[hit], "segment": segment[hit]})
+
+    return keep
+
+
 def _sets(n: int):
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,7 +268,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     short = F.xxhash64("node")
     shown = docs.select(short.alias("nid"), F.explode("segments").alias("segment"))
     met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where(F.col("pivot") != F.col("top"))
-    edges = shown.join(met.select("segment", "pivot"), "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    met = stored(met.select("segment", "pivot"), "met")
+    # most segments belong to one set: they are dropped where they are read, before the second shuffle
+    shared = df.sparkSession.sparkContext.broadcast(segment_map(met))
+    perhaps = docs.where(F.size("segments") > 0).select(short.alias("nid"), "segments").mapInPandas(_perhaps_met(shared), "nid bigint, segment bigint")
+    edges = perhaps.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
     blocks = stored(components(edges), "blocks")
 
     chosen = docs.select("id", "text_key", "node", short.alias("nid")).join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")

@@ -26,39 +26,38 @@ SYMBOLS = r"[#*$%&|<>]"
 POSITION_BITS = 31
 
 
-def with_repeated_words(df: DataFrame, text: Column, out: str, unless: Column | None = None, width: int = 3) -> DataFrame:
-    """``df`` with column ``out``: words in ``width``-word windows found twice or more in the text, the first included.
+def repeated_window_words(text: Column, width: int = 3) -> Column:
+    """Words of a text that lie in ``width``-word windows found twice or more, the first included.
 
-    32 hash bits and the position of every window are packed in one long and sorted as primitives;
-    neighbours with equal hash bits are candidates, and candidates count only if their words are
-    equal too. Where ``unless`` holds nothing is computed and ``out`` is null. Each long array is a
-    column of its own, so that it is computed once and its sort runs in generated code.
+    32 hash bits and the position of every window are packed in one long and sorted; neighbours
+    with equal hash bits are candidates, and candidates count only if their words are equal too.
+    Every array is bound to a lambda variable: however the optimizer moves the expression, it is
+    computed once for each text.
     """
-    h, s, c = (f"__leadforge_{x}" for x in ("hashes", "windows", "candidates"))
     mask = (1 << POSITION_BITS) - 1
-    skip = F.lit(False) if unless is None else unless
-    packed = F.transform(
-        F.slice(F.col(h), 1, F.size(h) - (width - 1)),
-        lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, *(F.get(F.col(h), i + k) for k in range(1, width))), 32), POSITION_BITS).bitwiseOR(i.cast("long")),
-    )
-    pairs = F.zip_with(s, F.slice(F.col(s), 2, F.size(s)), lambda a, b: F.when(a.bitwiseXOR(b) <= mask, F.array(a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int"))))
-
-    def confirmed(w: Column) -> Column:
-        named = F.transform(F.array_distinct(F.flatten(c)), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + k) for k in range(width))).alias("s"), i.alias("i")))
+
+    def packed(h: Column) -> Column:
+        place = lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width)))
+        return F.sort_array(F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.shiftleft(F.shiftrightunsigned(place(x, i), 32), POSITION_BITS).bitwiseOR(i.cast("long"))))
+
+    def candidates(s: Column) -> Column:
+        pairs = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.when(a.bitwiseXOR(b) <= mask, F.array(a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int"))))
+        return F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))
+
+    def confirmed(w: Column, places: Column) -> Column:
+        named = F.transform(places, lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + k) for k in range(width))).alias("s"), i.alias("i")))
         repeated = let(F.sort_array(named), lambda x: F.filter(x, lambda v, i: (F.get(x, i + 1)["s"] == v["s"]) | (F.get(x, i - 1)["s"] == v["s"])))
-        return F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(*(x["i"] + k for k in range(width))))))).cast("long")
+        return F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(*(x["i"] + k for k in range(width)))))))
+
+    def count(w: Column) -> Column:
+        found = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(packed(h), candidates))
+        return F.when(F.size(w) < width, 0).otherwise(let(found, lambda c: F.when(F.size(c) == 0, 0).otherwise(confirmed(w, c))))
 
-    return (
-        df.withColumn(h, F.when(~skip, F.transform(words(text), lambda x: F.xxhash64(x))))
-        .withColumn(s, F.when(F.size(h) >= width, F.sort_array(packed)))
-        .withColumn(c, F.filter(pairs, lambda x: x.isNotNull()))
-        .withColumn(out, F.when(F.size(c) > 0, let(words(text), confirmed)).when(F.col(h).isNotNull(), F.lit(0).cast("long")))
-        .drop(h, s, c)
-    )
+    return let(words(text), count).cast("long")
 
 
 def features(text: Column) -> dict[str, Column]:
-    """Counts over a whole text, as lazy columns; ``n_repeat_words`` comes from with_repeated_words."""
+    """Counts over a whole text, as lazy columns."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
@@ -67,6 +66,7 @@ def features(text: Column) -> dict[str, Column]:
         "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated_window_words(text),
     }
 
 
@@ -74,20 +74,17 @@ def features(text: Column) -> dict[str, Column]:
 class Rule:
     name: str
     rejects: Callable[[dict[str, Column]], Column]
-    #: Whether it reads ``n_repeat_words``.
-    repeats: bool = False
 
 
 #: Production rules. The first two are the base rules of the contract.
 RULES = (
     Rule("few_words", lambda f: f["n_words"] < 50),
-    Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"], repeats=True),
+    Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
     Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
     Rule("symbols", lambda f: 2 * f["n_symbols"] > f["n_words"]),
     Rule("duplicate_lines", lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
 )
 BASE_RULES = RULES[:2]
-REPEATS = "__leadforge_repeats"
 VERDICT = "__leadforge_verdict"
 
 
@@ -110,14 +107,10 @@ def first_rejection(df: DataFrame, text: Column, ordered: list[Rule], known: dic
 
     Rules after the first hit are not evaluated. ``known``: features that are columns already.
     """
-    f = known or features(text)
-    verdict = F.lit(None).cast("string")
+    f, verdict = known or features(text), F
     for rule in ordered:
-        if rule.repeats and known is None:
-            df = with_repeated_words(df.withColumn(VERDICT, verdict), text, REPEATS, F.col(VERDICT).isNotNull())
-            f, verdict = f | {"n_repeat_words": F.col(REPEATS)}, F.col(VERDICT)
-        verdict = F.when(verdict.isNotNull(), verdict).when(rule.rejects(f), F.lit(rule.name))
-    return df.withColumn(VERDICT, verdict).drop(REPEATS)
+        verdict = verdict.when(rule.rejects(f), F.lit(rule.name))
+    return df.withColumn(VERDICT, verdict if ordered else F.lit(None).cast("string"))
 
 
 def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
@@ -129,10 +122,9 @@ def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 def quality_verdicts(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
     """Counts and verdict of each row: key, the counts, ``base_failed``, ``kept``."""
     ordered = cascade_order(df, text, tuple(r for r in RULES if r not in BASE_RULES), sample_rows)
-    slim = with_repeated_words(df.select(df[key].alias("key"), df[text].alias("t")), F.col("t"), "n_repeat_words")
     f = features(F.col("t"))
-    counted = slim.select(F.col("key").alias(key), *(c.alias(n) for n, c in f.items()), "n_repeat_words")
-    f = {n: F.col(n) for n in [*f, "n_repeat_words"]}
+    counted = df.select(df[key].alias(key), df[text].alias("t")).select(F.col(key), *(c.alias(n) for n, c in f.items()))
+    f = {n: F.col(n) for n in f}
     base = BASE_RULES[0].rejects(f) | BASE_RULES[1].rejects(f)
     judged = first_rejection(counted.withColumn("base_failed", base), F.lit(None), ordered, known=f)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col(VERDICT).isNull()).drop(VERDICT)

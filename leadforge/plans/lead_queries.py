@@ -345,3 +345,44 @@ def vertical_stats(spark, sf_dir):
     has = F.col("c_custkey") % 11 != 0
     out = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("vertical")).agg(F.count(F.lit(1)).alias("discovered"), F.count_if(has).alias("with_domain"))
     return out.withColumn("share", numbers.percent(F.col("with_domain"), F.col("discovered")))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<meta[^>]*name="viewport"') THEN 'present' ELSE 'missing' END AS viewport,
+CASE WHEN regexp_matches(html, '<script[^>]*src="[^"]*jquery') THEN 'present' ELSE 'none' END AS jquery, 'static html' AS generator, CASE WHEN regexp_matches(html, '<form') THEN 'contact form' ELSE 'none' END AS "quoteForm",
+CASE WHEN len(regexp_extract_all(html, '(?:src|href|srcset)="http://')) > 0 THEN len(regexp_extract_all(html, '(?:src|href|srcset)="http://')) || ' assets' ELSE 'none' END AS "mixedContent",
+len(regexp_extract_all(html, '<img'))::BIGINT AS empty_images, 'none' AS bootstrap, 'none' AS slider, 'none' AS theme, 'none' AS whatsapp FROM pages""")
+def html_signals(spark, sf_dir):
+    from leadforge.operators.signals import page_signals
+    from leadforge.sources.html import html_elements
+
+    out = page_signals(html_elements(read(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+    return out.select("page_id", "viewport", "jquery", "generator", "quoteForm", "mixedContent", "empty_images", "bootstrap", "slider", "theme", "whatsapp")
+
+
+@query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, 'nav' AS region, count(DISTINCT regexp_replace(href, '#.*$', '')) AS links FROM a GROUP BY page_id""")
+def link_region(spark, sf_dir):
+    from leadforge.operators.links import links
+    from leadforge.sources.html import html_elements
+
+    pages = read(spark, sf_dir, "pages")
+    return links(html_elements(pages, "page_id", "html"), pages, "page_id").groupBy("page_id", "region").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("""SELECT host, agent_bytes, allowed FROM (SELECT DISTINCT 'h' || (page_id % 7) AS host, (page_id % 7)::BIGINT AS agent_bytes, (page_id % 7) <> 3 AS allowed FROM pages)""")
+def robots_longest_match(spark, sf_dir):
+    from leadforge.operators.robots import robots_rules
+
+    k = F.col("page_id") % 7
+    body = F.when(k == 3, F.lit("User-agent: a\nUser-agent: *\nDisallow: /x\nAllow: /\n\nUser-agent: other\nDisallow: /")).otherwise(F.lit("User-agent: *\n\nDisallow: /private # no\nAllow: /x/y\nDisallow: /x/y"))
+    hosts = read(spark, sf_dir, "pages").select(F.concat(F.lit("h"), k.cast("string")).alias("host"), k.alias("agent_bytes"), body.alias("body")).distinct()
+    rules = robots_rules(hosts, "leadbot")
+    return hosts.join(rules, "host").select("host", "agent_bytes", classify.robots_allowed(F.lit("/x/y/z"), F.col("allow"), F.col("disallow")).alias("allowed"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'blocked-429' WHEN 1 THEN 'dns' WHEN 2 THEN 'nav-timeout' WHEN 3 THEN 'crash' ELSE 'unknown' END AS kind, event_id % 5 IN (0, 2, 3) AS retry FROM events")
+def error_kinds(spark, sf_dir):
+    k = F.col("event_id") % 5
+    message = F.when(k == 1, "net::ERR_NAME_NOT_RESOLVED at x").when(k == 2, "Timeout 30000ms exceeded").when(k == 3, "Target closed").otherwise("odd")
+    kind = classify.error_kind(message, F.when(k == 0, 429))
+    return read(spark, sf_dir, "events").select("event_id", kind.alias("kind"), kind.isin(*classify.RETRYABLE).alias("retry"))

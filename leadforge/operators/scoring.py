@@ -50,7 +50,7 @@ def staleness(s: dict[str, Column], year: int) -> Column:
     built = F.coalesce(first_year(s["redesigned"]), first_year(s["copyright"]), first_year(s["wayback"]))
     untouched = first_year(s["wayback"]).isNotNull() & first_year(s["redesigned"]).isNull() & (F.lower(text(s["redesigned"])) != "n/a")
     return round2(total(
-        F.coalesce(clamp(year - built, 0, STALE_YEARS) * STALE_PER_YEAR, F.lit(0.0)), points(untouched, NEVER_REDESIGNED),
+        F.when(built.isNotNull(), clamp(year - built, 0, STALE_YEARS) * STALE_PER_YEAR).otherwise(F.lit(0.0)), points(untouched, NEVER_REDESIGNED),
         points(first_number(s["jquery"]) < 3, LEGACY_JQUERY), points(first_number(s["bootstrap"]) < 4, LEGACY_BOOTSTRAP),
         points(text(s["slider"]).rlike(DATED_SLIDERS), DATED_SLIDER), points(old_wordpress(s["generator"]), OLD_GENERATOR),
         points(text(s["generator"]).rlike("(?i)frontpage|static html|table") | text(s["theme"]).rlike("(?i)table"), OLD_GENERATOR),

@@ -51,7 +51,7 @@ _BUCKET = f"CASE WHEN {_num('lcp')} IS NULL THEN 'ok' WHEN {_num('lcp')} < 2.5 T
 _OLD_WP = r"coalesce(TRY_CAST(nullif(regexp_extract(generator, '(?i)wordpress\s*([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) < 5.5, false)"
 _SLIDER = "regexp_matches(slider, '(?i)revslider|revolution|nivo|owl|cycle|flexslider')"
 _STALE = _r2(
-    f"coalesce(greatest(0, least(11, {YEAR} - coalesce({_yr('redesigned')}, {_yr('copyright')}, {_yr('wayback')}))) * 4e0, 0e0)"
+    f"CASE WHEN coalesce({_yr('redesigned')}, {_yr('copyright')}, {_yr('wayback')}) IS NULL THEN 0e0 ELSE greatest(0, least(11, {YEAR} - coalesce({_yr('redesigned')}, {_yr('copyright')}, {_yr('wayback')}))) * 4e0 END"
     f" + CASE WHEN {_yr('wayback')} IS NOT NULL AND {_yr('redesigned')} IS NULL AND lower(redesigned) <> 'n/a' THEN 6e0 ELSE 0e0 END"
     f" + CASE WHEN {_num('jquery')} < 3 THEN 5e0 ELSE 0e0 END + CASE WHEN {_num('bootstrap')} < 4 THEN 3e0 ELSE 0e0 END"
     f" + CASE WHEN {_SLIDER} THEN 5e0 ELSE 0e0 END + CASE WHEN {_OLD_WP} THEN 4e0 ELSE 0e0 END"

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadforge.functions.strings import csv_cell
+
 
 def write_stage(df: DataFrame, root: str) -> None:
     """One folder per vertical; only the verticals in ``df`` are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vertical").parquet(root)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """One file, every cell quoted, CRLF ends, U+FEFF before the header: the form spreadsheet programs expect."""
-    text = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
-    first = df.columns[0]
-    text.withColumnRenamed(first, "﻿" + first).coalesce(1).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="")
+    lines = df.withColumn("_line", F.concat_ws(",", *(csv_cell(F.col(c)) for c in df.columns))).withColumn("_part", F.lit(1))
+    head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    title = df.sparkSession.range(1).select(F.lit(head).alias("_line"), F.lit(0).alias("_part"))
+    every = title.unionByName(lines.select("_line", "_part", *order), allowMissingColumns=True)
+    every.coalesce(1).sortWithinPartitions("_part", *order).select("_line").write.mode("overwrite").text(path, lineSep="\r\n")
 
 
 def split_errors(df: DataFrame, error: Column, stage: str) -> tuple[DataFrame, DataFrame]:

@@ -194,7 +194,7 @@ def _describe(n: int, percent: int):
         for pdf in batches:
             sets = [gram_set(t, n) for t in pdf["text"]]
             yield pd.DataFrame({
-                "id": pdf["id"], "text_key": pdf["text_key"], "n": [len(s) for s in sets],
+                "id": pdf["id"], "row_key": pdf["row_key"], "n": [len(s) for s in sets],
                 "node": [set_node(s) if len(s) else None for s in sets],
                 "segments": [segments(s, percent).view(np.int64) for s in sets],
             })
@@ -208,38 +208,41 @@ def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [int(key[0])], "bits": [np.packbits(bits).tobytes()]})
 
 
-def segment_map(met: DataFrame) -> np.ndarray:
-    """A bit for the leading MAP_BITS bits of every met segment, packed; of a fixed size."""
-    lead = F.shiftrightunsigned("segment", 64 - MAP_BITS)
-    bits = met.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit"))
+def key_map(df: DataFrame, key: str) -> np.ndarray:
+    """A bit for the leading MAP_BITS bits of every value of a long column, packed; of a fixed size."""
+    lead = F.shiftrightunsigned(key, 64 - MAP_BITS)
+    bits = df.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit"))
     out = np.zeros((1 << (MAP_BITS - MAP_BLOCK_BITS), 1 << (MAP_BLOCK_BITS - 3)), np.uint8)
     for row in bits.groupBy("block").applyInPandas(_map_block, "block int, bits binary").toLocalIterator():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
 
+def mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in a map: all that are, and few others."""
+    lead = keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    return (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
 def _perhaps_met(shared):
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
         for pdf in batches:
             counts = pdf["segments"].map(len).to_numpy()
             if not counts.sum():
                 continue
-            segment = np.concatenate(pdf["segments"].to_numpy()).astype(np.int64)
-            lead = segment.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            hit = (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
+            segment = np.concatenate(pdf["segments"].to_numpy())
+            hit = mapped(shared.value, segment)
             yield pd.DataFrame({"nid": np.repeat(pdf["nid"].to_numpy(), counts)[hit], "segment": segment[hit]})
 
     return keep
 
 
-def _sets(n: int):
+def _sets(n: int, shared):
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[mapped(shared.value, pdf["row_key"].to_numpy())]
             sets = [gram_set(t, n) for t in pdf["text"]]
-            nodes = [set_node(s) for s in sets]
-            same = np.array([a == b for a, b in zip(nodes, pdf["node"])], bool)
-            yield pd.DataFrame({"block": pdf["block"], "node": pdf["node"], "grams": [s.tobytes() for s in sets]})[same]
+            yield pd.DataFrame({"row_key": pdf["row_key"], "made": [set_node(s) for s in sets], "grams": [s.tobytes() for s in sets]})
 
     return load
 
@@ -262,27 +265,29 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
     Two sets link when their Jaccard similarity is at least ``percent`` / 100.
     """
-    source = df.select(df[key].alias("id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_key"))
+    source = df.select(df[key].alias("id"), df[text].alias("text"), F.xxhash64(df[key], df[text]).alias("row_key"))
     id_type = source.schema["id"].dataType.simpleString()
-    docs = stored(source.mapInPandas(_describe(n, percent), f"id {id_type}, text_key bigint, n bigint, node binary, segments array<bigint>"), "described")
+    docs = stored(source.mapInPandas(_describe(n, percent), f"id {id_type}, row_key bigint, n bigint, node binary, segments array<bigint>"), "described")
     short = F.xxhash64("node")
     shown = docs.select(short.alias("nid"), F.explode("segments").alias("segment"))
     met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where(F.col("pivot") != F.col("top"))
     met = stored(met.select("segment", "pivot"), "met")
     # most segments belong to one set: they are dropped where they are read, before the second shuffle
-    shared = df.sparkSession.sparkContext.broadcast(segment_map(met))
+    shared = df.sparkSession.sparkContext.broadcast(key_map(met, "segment"))
     perhaps = docs.where(F.size("segments") > 0).select(short.alias("nid"), "segments").mapInPandas(_perhaps_met(shared), "nid bigint, segment bigint")
     edges = perhaps.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
     blocks = stored(components(edges), "blocks")
 
-    chosen = docs.select("id", "text_key", "node", short.alias("nid")).join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")
-    chosen = stored(chosen.groupBy("node", "block").agg(F.min(F.struct("id", "text_key")).alias("k")).select("node", "block", F.col("k.id").alias("k_id"), F.col("k.text_key").alias("k_text")), "chosen")
-    wanted = source.join(chosen, source["id"].eqNullSafe(chosen["k_id"]) & (source["text_key"] == chosen["k_text"])).select("block", "node", "text")
-    sets = stored(wanted.mapInPandas(_sets(n), "block bigint, node binary, grams binary"), "sets")
-
-    grown = sets.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("grams") / 8).alias("all_grams"))
+    # one row of each node in a block; chunks are counted before any set is loaded
+    chosen = docs.select("row_key", "node", "n", short.alias("nid")).join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")
+    chosen = stored(chosen.groupBy("node", "block").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "chosen")
+    grown = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_grams"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
-    dealt = sets.join(grown.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = chosen.join(grown.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # only the chosen rows' texts are turned into sets again; no text is shuffled
+    wanted = df.sparkSession.sparkContext.broadcast(key_map(chosen, "row_key"))
+    sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
+    dealt = sets.join(dealt, "row_key").where(F.col("made") == F.col("node"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tasks = dealt.select("block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "grams")
     tasks = tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")

@@ -33,10 +33,10 @@ def test_blocks(html, text):
 
 def test_repeated_runs_of_a_host_are_removed(spark):
     frame = "welcome to the site of all good things here"
-    rows = [(i, "http://a.example/x", f"<p>{frame}</p><p>story number {i} tells of item {i}</p>") for i in range(5)]
+    rows = [(i, "http://a.example/x", f"<p>{frame}</p><p>{i} is the story of item {i}</p>") for i in range(5)]
     rows += [(10, "http://b.example/", f"<p>{frame}</p>"), (11, None, None), (12, "http://a.example/y", f"<p>{frame}</p>"), (13, "http://a.example/z", f"<article>{frame}</article>")]
     got = {x["id"]: x["text"] for x in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert all(got[i] == f"story number {i} tells of item {i}" for i in range(5))
+    assert all(got[i] == f"{i} is the story of item {i}" for i in range(5))
     assert got[10] == got[12] == got[13] == frame and got[11] == ""
     assert pages.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 

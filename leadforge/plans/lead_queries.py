@@ -386,3 +386,73 @@ def error_kinds(spark, sf_dir):
     message = F.when(k == 1, "net::ERR_NAME_NOT_RESOLVED at x").when(k == 2, "Timeout 30000ms exceeded").when(k == 3, "Target closed").otherwise("odd")
     kind = classify.error_kind(message, F.when(k == 0, 429))
     return read(spark, sf_dir, "events").select("event_id", kind.alias("kind"), kind.isin(*classify.RETRYABLE).alias("retry"))
+
+
+@query("SELECT o_orderkey, sum(l_quantity::BIGINT)::BIGINT AS transfer, coalesce(sum(l_quantity::BIGINT) FILTER (l_linestatus = 'O'), 0)::BIGINT AS images FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def asset_sums(spark, sf_dir):
+    from leadforge.operators.captures import asset_bytes
+
+    assets = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_linestatus").alias("type"), F.col("l_quantity").cast("bigint").alias("bytes"))).alias("assets"))
+    return assets.join(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", asset_bytes(F.col("assets")).alias("transfer"), asset_bytes(F.col("assets"), "O").alias("images"))
+
+
+@query("SELECT p_partkey, floor(p_size * 100 * least(1e0, 720e0 / (p_size * 100)) + 0.5e0)::BIGINT AS width, least(floor(p_retailprice * least(1e0, 720e0 / (p_size * 100)) + 0.5e0)::BIGINT, 16000) AS height FROM part")
+def shot_geometry(spark, sf_dir):
+    from leadforge.operators.captures import scaled
+
+    return read(spark, sf_dir, "part").select("p_partkey", scaled(F.col("p_size") * 100, F.col("p_retailprice")).alias("g")).select("p_partkey", "g.width", "g.height")
+
+
+@query("SELECT event_id, coalesce(epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1.5, false) AS too_soon FROM events")
+def host_spacing(spark, sf_dir):
+    from leadforge.operators.captures import spacing
+
+    return spacing(read(spark, sf_dir, "events"), "user_id", "ts", 1.5).select("event_id", "too_soon")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (page_id % 11 <> 0) AS with_domain, count(*) FILTER (page_id % 3 = 0) AS qualified, count(*) FILTER (page_id % 3 <> 0) AS skipped,
+count(*) FILTER (page_id % 4 = 1) AS mobile_broken, count(*) FILTER (page_id % 5 = 0) AS expired FROM pages""")
+def qualify_summary(spark, sf_dir):
+    from leadforge.operators.captures import qualify_summary as summary
+
+    k = F.col("page_id")
+    return summary(read(spark, sf_dir, "pages").select(F.when(k % 11 != 0, F.lit("a.in")).alias("domain"), F.when(k % 3 == 0, "audit").otherwise("skip").alias("verdict"), F.when(k % 4 == 1, False).when(k % 4 == 2, True).alias("viewport_meta"), F.when(k % 5 == 0, "expired 2024-01").otherwise("ok").alias("https")))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linenumber <= 3) = 3 AS complete FROM lineitem GROUP BY l_orderkey")
+def capture_complete(spark, sf_dir):
+    from leadforge.operators.captures import complete
+
+    return complete(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("file")), "l_orderkey", ("1", "2", "3"))
+
+
+@query("SELECT DISTINCT 'd' || l_partkey % 500 AS domain FROM lineitem WHERE l_partkey % 500 <> l_suppkey AND l_partkey % 500 NOT IN (SELECT s_suppkey FROM supplier)")
+def portfolio_expansion(spark, sf_dir):
+    from leadforge.operators.captures import expansion
+
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    links = read(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("domain"), name(F.col("l_partkey") % 500).alias("target"))
+    return expansion(links, read(spark, sf_dir, "supplier").select(name(F.col("s_suppkey")).alias("domain")))
+
+
+@query("SELECT s_suppkey, substr(sha256(s_name || CAST(s_nationkey AS VARCHAR)), 1, 16) AS config_hash FROM supplier")
+def config_hash(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", strings.config_hash(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("config_hash"))
+
+
+@query("SELECT p_partkey, 'Plan ' || p_size || ' for Rs. ' || p_size || ',000' AS text, CAST(p_size AS VARCHAR) || '000' AS price FROM part")
+def price_extract(spark, sf_dir):
+    from leadforge.operators.captures import prices
+
+    text = F.concat(F.lit("Plan "), F.col("p_size").cast("string"), F.lit(" for Rs. "), F.col("p_size").cast("string"), F.lit(",000"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.array_join(prices(text), ",").alias("price"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'element' WHEN o_orderkey % 3 = 0 THEN 'structured' WHEN o_orderkey % 2 = 0 THEN '12 Some Street, Town 641 001' WHEN o_orderkey % 7 = 0 THEN 'provider' ELSE 'none' END AS address FROM orders")
+def address_cascade(spark, sf_dir):
+    from leadforge.operators.captures import address
+
+    k = F.col("o_orderkey")
+    body = F.when(k % 2 == 0, F.lit("Call us\n12 Some Street, Town 641 001\nbye"))
+    out = address(F.when(k % 5 == 0, F.lit(" element ")), F.when(k % 3 == 0, F.lit("structured")), body, F.when(k % 7 == 0, F.lit("provider")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", out.alias("address"))

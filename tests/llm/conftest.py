@@ -6,7 +6,7 @@ import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: The table with columns whose names clash with what operators use inside.
-EXTRA = ["id", "n", "size", "digest", "component", "key", "w"]
+EXTRA = ["id", "n", "size", "digest", "component", "key", "w", "s", "b", "before", "node", "block"]
 
 
 def sentence(rng, n):

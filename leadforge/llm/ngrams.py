@@ -43,8 +43,10 @@ from leadforge.llm.components import components
 CHUNK_SETS, CHUNK_GRAMS = 800, 1_000_000
 #: Upper ends of size classes grow by this factor.
 CLASS_GROWTH = 1.5
-#: Bits of the map of met segments, which every task gets (16 MB, whatever the input), and of one of its blocks.
-MAP_BITS, MAP_BLOCK_BITS = 27, 15
+#: Bits of the maps that every task gets (2 MB, whatever the input), and of one of their blocks.
+MAP_BITS, MAP_BLOCK_BITS = 24, 15
+#: Rows of the table of chosen nodes (about 64 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -189,19 +191,42 @@ def trie_join(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
     return links
 
 
-def _describe(n: int, percent: int):
+def _node_number(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def _describe(n: int):
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [gram_set(t, n) for t in pdf["text"]]
+            nodes = [set_node(s) if len(s) else None for s in sets]
             yield pd.DataFrame({
-                "id": pdf["id"], "row_key": pdf["row_key"], "n": [len(s) for s in sets],
-                "node": [set_node(s) if len(s) else None for s in sets],
-                "segments": [segments(s, percent).view(np.int64) for s in sets],
+                "id": pdf["id"], "row_key": pdf["row_key"], "n": [len(s) for s in sets], "node": nodes,
+                "nid": pd.Series([None if x is None else _node_number(x) for x in nodes], dtype="Int64", index=pdf.index),
             })
 
     return describe
 
 
+def _segments_of(n: int, percent: int, shared=None):
+    """(nid, segment) rows; with a map, only segments that may be in it."""
+
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [s for t in pdf["text"] if len(s := gram_set(t, n))]
+            if not sets:
+                continue
+            shown = [segments(s, percent) for s in sets]
+            segment = np.concatenate(shown).view(np.int64)
+            nid = np.repeat(np.array([_node_number(set_node(s)) for s in sets], np.int64), [len(x) for x in shown])
+            if shared is not None:
+                hit = mapped(shared.value, segment)
+                nid, segment = nid[hit], segment[hit]
+            yield pd.DataFrame({"nid": nid, "segment": segment})
+
+    return show
+
+
 def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(1 << MAP_BLOCK_BITS, bool)
     bits[pdf["bit"]] = True
@@ -224,19 +249,6 @@ def mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _perhaps_met(shared):
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts = pdf["segments"].map(len).to_numpy()
-            if not counts.sum():
-                continue
-            segment = np.concatenate(pdf["segments"].to_numpy())
-            hit = mapped(shared.value, segment)
-            yield pd.DataFrame({"nid": np.repeat(pdf["nid"].to_numpy(), counts)[hit], "segment": segment[hit]})
-
-    return keep
-
-
 def _sets(n: int, shared):
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -267,25 +279,26 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """
     source = df.select(df[key].alias("id"), df[text].alias("text"), F.xxhash64(df[key], df[text]).alias("row_key"))
     id_type = source.schema["id"].dataType.simpleString()
-    docs = stored(source.mapInPandas(_describe(n, percent), f"id {id_type}, row_key bigint, n bigint, node binary, segments array<bigint>"), "described")
-    short = F.xxhash64("node")
-    shown = docs.select(short.alias("nid"), F.explode("segments").alias("segment"))
+    docs = stored(source.mapInPandas(_describe(n), f"id {id_type}, row_key bigint, n bigint, node binary, nid bigint"), "described")
+    # sets are made anew where they are needed: that costs less than to keep or move them
+    shown = source.select("text").mapInPandas(_segments_of(n, percent), "nid bigint, segment bigint")
     met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where(F.col("pivot") != F.col("top"))
     met = stored(met.select("segment", "pivot"), "met")
-    # most segments belong to one set: they are dropped where they are read, before the second shuffle
-    shared = df.sparkSession.sparkContext.broadcast(key_map(met, "segment"))
-    perhaps = docs.where(F.size("segments") > 0).select(short.alias("nid"), "segments").mapInPandas(_perhaps_met(shared), "nid bigint, segment bigint")
+    # most segments belong to one set: they are dropped where they are made, before any second shuffle
+    broadcast = df.sparkSession.sparkContext.broadcast
+    perhaps = source.select("text").mapInPandas(_segments_of(n, percent, broadcast(key_map(met, "segment"))), "nid bigint, segment bigint")
     edges = perhaps.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
     blocks = stored(components(edges), "blocks")
 
     # one row of each node in a block; chunks are counted before any set is loaded
-    chosen = docs.select("row_key", "node", "n", short.alias("nid")).join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")
+    chosen = docs.select("row_key", "node", "n", "nid").join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")
     chosen = stored(chosen.groupBy("node", "block").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "chosen")
     grown = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_grams"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
     dealt = chosen.join(grown.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # only the chosen rows' texts are turned into sets again; no text is shuffled
-    wanted = df.sparkSession.sparkContext.broadcast(key_map(chosen, "row_key"))
+    wanted = broadcast(key_map(chosen, "row_key"))
+    dealt = F.broadcast(dealt) if chosen.count() <= BROADCAST_ROWS else dealt
     sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
     dealt = sets.join(dealt, "row_key").where(F.col("made") == F.col("node"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

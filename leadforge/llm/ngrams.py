@@ -9,6 +9,8 @@ hashes. Documents with the same set are one node. The join has three steps.
    quote does not make them meet, because whole segments must agree. D depends on the size, so
    segments are cut by size class, and a set also takes the cuts of the next class if a partner may
    lie there. A set with more empty segments than the cut allows for also shows the empty ones.
+   The cut has segments to spare, so partners share several; nodes that show fewer met segments
+   than any partner would share are peeled off before blocks are formed.
 2. Blocks. Connected groups of meeting nodes are dealt to tasks with their whole sets; groups over
    a fixed size are cut into chunks and each pair of chunks becomes a task, so no task grows with
    a group.
@@ -92,27 +94,31 @@ def cuts(size_class: int, percent: int) -> tuple[int, int]:
     return (differ + 1 + spare, spare) if differ else (0, 0)
 
 
-def segments(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the segments of a set, for its own size class and the next one if partners may lie there."""
-    out = [np.zeros(0, np.uint64)]
-    lows = size_classes()
+def segment_parts(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(size class, need, signatures of segments) of a set, for its own class and the next one if partners may lie there.
+
+    ``need``: how many of these segments any partner of that class shares at least.
+    """
+    out, lows = [], size_classes()
     own = int(np.searchsorted(lows, len(grams), "right")) - 1
-    scrambled = None
     for c in (own, own + 1):
         m, spare = cuts(c, percent)
         if not len(grams) or not m or (c > own and 100 * len(grams) < percent * int(lows[c])):
             continue
-        if scrambled is None:
-            scrambled, high = _mix(grams), grams >> np.uint64(32)
-        at = (high * np.uint64(m)) >> np.uint64(32)
+        at = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         name = np.uint64(c << 40)
-        out.append(_mix(np.add.reduceat(scrambled, first) ^ _mix(at[first] + name)))
-        if m - len(first) > spare:
-            out.append(_mix(~_mix(np.setdiff1d(np.arange(m, dtype=np.uint64), at[first]) + name)))
-    return np.concatenate(out)
+        signed = _mix(np.add.reduceat(_mix(grams), first) ^ _mix(at[first] + name))
+        empty = m - len(first)
+        if empty > spare:
+            signed = np.concatenate([signed, _mix(~_mix(np.setdiff1d(np.arange(m, dtype=np.uint64), at[first]) + name))])
+        out.append((c, max(1, 1 + spare - empty), signed))
+    return out
 
 
+def segments(grams: np.ndarray, percent: int) -> np.ndarray:
+    """All signatures of a set."""
+    return np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in segment_parts(grams, percent))])
 
 
 def trie(paths: list[np.ndarray], sizes: np.ndarray) -> list:
@@ -208,25 +214,46 @@ def _describe(n: int):
     return describe
 
 
+SHOWN = "nid bigint, class int, need int, segment bigint"
+
+
 def _segments_of(n: int, percent: int, shared=None):
-    """(nid, segment) rows; with a map, only segments that may be in it."""
+    """SHOWN rows; with a map, only segments that may be in it."""
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [s for t in pdf["text"] if len(s := gram_set(t, n))]
-            if not sets:
+            parts = [(_node_number(set_node(s)), *p) for t in pdf["text"] if len(s := gram_set(t, n)) for p in segment_parts(s, percent)]
+            if not parts:
                 continue
-            shown = [segments(s, percent) for s in sets]
-            segment = np.concatenate(shown).view(np.int64)
-            nid = np.repeat(np.array([_node_number(set_node(s)) for s in sets], np.int64), [len(x) for x in shown])
-            if shared is not None:
-                hit = mapped(shared.value, segment)
-                nid, segment = nid[hit], segment[hit]
-            yield pd.DataFrame({"nid": nid, "segment": segment})
+            segment = np.concatenate([p[3] for p in parts]).view(np.int64)
+            hit = slice(None) if shared is None else mapped(shared.value, segment)
+            lengths = [len(p[3]) for p in parts]
+            nid, size_class, need = (np.repeat(np.array([p[i] for p in parts], np.int64), lengths)[hit] for i in range(3))
+            yield pd.DataFrame({"nid": nid, "class": size_class, "need": need, "segment": segment[hit]})
 
     return show
 
 
+def met_segments(shown: DataFrame) -> DataFrame:
+    """(segment, pivot) of the segments that several nodes show; pivot is the smallest of them."""
+    met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top"))
+    return met.where(F.col("pivot") != F.col("top")).select("segment", "pivot")
+
+
+def peeled(shown: DataFrame, met: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows and met segments of the nodes that show as many met segments as a partner would share.
+
+    Dropping a node can take others below their need, so this is done in rounds; each may stop early
+    without losing a link, since it only ever drops nodes that cannot have a partner.
+    """
+    for _ in range(rounds):
+        rows = stored(shown.join(met.select("segment"), "segment", "left_semi").distinct(), "rows")
+        enough = rows.groupBy("nid", "class").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).where("has >= least").select("nid", "class")
+        shown = stored(rows.join(enough, ["nid", "class"], "left_semi"), "peeled")
+        met = stored(met_segments(shown), "met")
+    return shown, met
+
+
 def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(1 << MAP_BLOCK_BITS, bool)
     bits[pdf["bit"]] = True
@@ -281,13 +308,12 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     id_type = source.schema["id"].dataType.simpleString()
     docs = stored(source.mapInPandas(_describe(n), f"id {id_type}, row_key bigint, n bigint, node binary, nid bigint"), "described")
     # sets are made anew where they are needed: that costs less than to keep or move them
-    shown = source.select("text").mapInPandas(_segments_of(n, percent), "nid bigint, segment bigint")
-    met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top")).where(F.col("pivot") != F.col("top"))
-    met = stored(met.select("segment", "pivot"), "met")
+    met = stored(met_segments(source.select("text").mapInPandas(_segments_of(n, percent), SHOWN)), "met")
     # most segments belong to one set: they are dropped where they are made, before any second shuffle
     broadcast = df.sparkSession.sparkContext.broadcast
-    perhaps = source.select("text").mapInPandas(_segments_of(n, percent, broadcast(key_map(met, "segment"))), "nid bigint, segment bigint")
-    edges = perhaps.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    perhaps = source.select("text").mapInPandas(_segments_of(n, percent, broadcast(key_map(met, "segment"))), SHOWN)
+    shown, met = peeled(perhaps, met)
+    edges = shown.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
     blocks = stored(components(edges), "blocks")
 
     # one row of each node in a block; chunks are counted before any set is loaded

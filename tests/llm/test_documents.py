@@ -173,6 +173,12 @@ def test_routing_and_trie_lose_no_link(percent):
         routes = [set(ngrams.segments(s, percent).tolist()) for s in sets]
         links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
         assert all(routes[i] & routes[j] for i, j in links)
+        parts = [{c: (need, set(x.tolist())) for c, need, x in ngrams.segment_parts(s, percent)} for s in sets]
+        for i, j in links:
+            meeting = [c for c in parts[i] if c in parts[j]]
+            large = max(i, j, key=lambda k: len(sets[k]))
+            own = min(parts[large])
+            assert own in meeting and len(parts[i][own][1] & parts[j][own][1]) >= max(parts[i][own][0], parts[j][own][0])
 
         def classes(pairs):
             root = list(range(len(sets)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leadforge.llm.common import stored
 from leadforge.llm.exact import drop_copies
-from leadforge.llm.mixing import mixed
+from leadforge.llm.mixing import mixed, placed
 from leadforge.llm.ngrams import drop_similar
 from leadforge.llm.pieces import encoded
 from leadforge.llm.quality import quality_filter
@@ -33,8 +33,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every reading."""
-    return encoded(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    """Token ids of every reading, and its place in training order."""
+    out = encoded(placed(docs), carry="mix_place").withColumnRenamed("mix_place", "place")
+    return out.select("doc_id", "place", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("n-gram join", near_dedup), ("mixing", mixing), ("encoding", encoding)]

@@ -6,7 +6,8 @@ ratios of limit and weight). Within a source, documents stand in a fixed pseudo-
 start, and again, until the target is met. Curriculum: a source's weight schedule over training
 time t in [0, 1] is linear, ``begin + (end - begin) * t`` with mean 1; its integral is the share of
 the target demanded by time t, so inverting it gives every document its training position, by
-which documents are range-sorted.
+which documents are range-sorted. A table that is read again comes in any order of its files, so
+the last stage of the pipeline takes every reading's place from the stored mix.
 
 Running sums are taken in two levels, over buckets of the order key and within a bucket, so that a
 source with a third of all rows is spread over 4,096 tasks' worth of rows. One row per source passes a single-task window.
@@ -84,12 +85,29 @@ def position(repeat: Column) -> Column:
     return out
 
 
+def readings(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The columns of :func:`assign`, with mix_reading and mix_position: a row for every reading, range-sorted by training position.
+
+    A reading counts when at least half of its words lie below the target. Equal positions are ordered by the key's order and the reading.
+    """
+    counted = F.filter(F.array(*(F.when((taken(k) > 0) & (2 * taken(k) >= F.col("mix_size")), F.lit(k)) for k in (0, 1))), lambda x: x.isNotNull())
+    out = assign(df, key, text, source).withColumn("mix_reading", F.explode(counted)).withColumn("mix_position", position(F.col("mix_reading")))
+    order = ["mix_position", "mix_order", "mix_reading"]
+    return out.withColumn("mix_order", order_key(F.col(key))).repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_order")
+
+
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: whole rows of ``df``, read once or twice or not at all, sorted by training position.
+    """The mix itself: whole rows of ``df``, read once or twice or not at all, sorted by training position."""
+    return readings(df, key, text, source).select(*df.columns)
+
+
+def placed(mix: DataFrame) -> DataFrame:
+    """``mix`` with mix_place, which grows along the mix and does not depend on the order in which its files are read.
 
-    A reading counts when at least half of its words lie below the target.
+    The place is the number of the row's part file (files are written in the order of the sorted partitions) and its row within that file.
+    A mix that is not a stored table becomes one first.
     """
-    columns = df.columns
-    readings = F.filter(F.array(*(F.when((taken(k) > 0) & (2 * taken(k) >= F.col("mix_size")), F.lit(k)) for k in (0, 1))), lambda x: x.isNotNull())
-    out = assign(df, key, text, source).withColumn("mix_reading", F.explode(readings)).withColumn("mix_position", position(F.col("mix_reading")))
-    return out.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*columns)
+    if mix._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        mix = stored(mix, "mix")
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return mix.withColumn("mix_place", F.shiftleft(part, 33) + F.col("_metadata.row_index"))

@@ -161,9 +161,9 @@ def load(path: str) -> Pieces:
 ENCODED = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint"
 
 
-def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: bool = True, model: str | None = None) -> DataFrame:
+def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: bool = True, model: str | None = None, carry: str | None = None) -> DataFrame:
     """Key, n_tokens, ids_sha256, decoded_sha256, covered_bytes (source bytes that the spans cover); with
-    ``outputs`` also ids, starts, ends (byte spans) and decoded text."""
+    ``outputs`` also ids, starts, ends (byte spans) and decoded text; then the column ``carry`` as it is."""
     key_type = df.schema[key].dataType.simpleString()
     path = model
 
@@ -180,7 +180,12 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: boo
             if outputs:
                 out["ids"], out["decoded"] = [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], back
                 out["starts"], out["ends"] = [a for a, _ in spans], [b for _, b in spans]
+            if carry:
+                out[carry] = pdf["carry"]
             yield out
 
     more = ", ids array<int>, decoded string, starts array<bigint>, ends array<bigint>" if outputs else ""
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInPandas(run, f"`{key}` {key_type}, {ENCODED}{more}")
+    if carry:
+        more += f", `{carry}` {df.schema[carry].dataType.simpleString()}"
+    carried = [df[carry].alias("carry")] if carry else []
+    return df.select(df[key].alias("key"), df[text].alias("text"), *carried).mapInPandas(run, f"`{key}` {key_type}, {ENCODED}{more}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadforge.llm.chat import formatted
 from leadforge.llm.common import table
 from leadforge.llm.exact import exact_groups
-from leadforge.llm.mixing import assign
+from leadforge.llm.mixing import assign, readings
 from leadforge.llm.ngrams import similar_groups
 from leadforge.llm.pages import main_text
 from leadforge.llm.pieces import encoded
@@ -30,6 +30,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op2_mixing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every reading of the mix with its training position, range-sorted by it."""
+    out = readings(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_reading").alias("reading"), F.col("mix_position").alias("position"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -68,6 +74,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op2_mixing_order": op2_mixing_order,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_chat_formatting": op5_chat_formatting,

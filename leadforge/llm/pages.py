@@ -4,13 +4,14 @@ A page is read once as a stream of tags and text. Elements that name themselves
 footers, sidebars, notices, adverts, forms or comments (by tag, role, class or id) are left out. If
 the page has articles (or else a main element), their blocks are the text.
 
-Pages without either have only unnamed blocks. Their token streams are concatenated by host and
-the suffixes of those streams sorted; substrings of at least LONG tokens that occur on SUPPORT or
-more distinct pages of the host are boilerplate, their tokens are removed, and the unique runs
+Pages without either have only unnamed blocks. The token streams of the unnamed blocks of every page
+are concatenated by host and the suffixes of those streams sorted; substrings of at least LONG tokens
+that occur on SHARE percent of the host's distinct pages with such blocks, and on SUPPORT at least, are
+boilerplate. Where a page has no other blocks their tokens are removed, and the unique runs
 stay. Only the first LONG tokens of a suffix are compared: a longer repeat is a chain of such, so
 the array is cut there and its runs of equal suffixes become a grouping of (host, first tokens),
-pre-aggregated before the shuffle, which no popular host or line can pull into one task. A page
-whose whole text would go keeps it: it is a copy, not a frame.
+pre-aggregated before the shuffle, which no popular host or line can pull into one task. A run that
+is more than two thirds of its page stays: it is a copy, not a frame.
 
 Repeats inside articles are kept, since an article that was published twice is still one.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from leadforge.llm.common import stored
 
-LONG, SUPPORT = 6, 3
+LONG, SUPPORT, SHARE = 8, 3, 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -121,20 +122,25 @@ class _Reader(HTMLParser):
             self.parts.append(data)
 
 
-def blocks_of(html: str | None) -> tuple[bool, list[str]]:
-    """Whether markup names the main text, and the blocks of it (or all unnamed blocks)."""
+def split_blocks(html: str | None) -> tuple[bool, list[str], list[str]]:
+    """Whether markup names the main text, the blocks of it (or all unnamed blocks), and the unnamed blocks."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader._close_block()
     kind = max((k for k, _ in reader.blocks), default=0)
-    return kind > 0, [t for k, t in reader.blocks if k == kind]
+    return kind > 0, [t for k, t in reader.blocks if k == kind], [t for k, t in reader.blocks if k == 0]
+
+
+def blocks_of(html: str | None) -> tuple[bool, list[str]]:
+    """Whether markup names the main text, and the blocks of it (or all unnamed blocks)."""
+    return split_blocks(html)[:2]
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        read = [blocks_of(h) for h in pdf["html"]]
-        yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "named": [n for n, _ in read], "blocks": [b for _, b in read]})
+        read = [split_blocks(h) for h in pdf["html"]]
+        yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "named": [n for n, _, _ in read], "blocks": [b if n else [] for n, b, _ in read], "unnamed": [u for _, _, u in read]})
 
 
 def _starts(tokens: list[str]) -> np.ndarray:
@@ -144,14 +150,14 @@ def _starts(tokens: list[str]) -> np.ndarray:
 
 def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        heads = [_starts(" ".join(b).split()) for b in pdf["blocks"]]
-        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "heads": heads})
+        heads = [_starts(" ".join(b).split()) for b in pdf["unnamed"]]
+        yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "named": pdf["named"], "heads": heads})
 
 
 def _unique_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = []
-        for blocks, covered in zip(pdf["blocks"], pdf["repeats"]):
+        for blocks, covered in zip(pdf["unnamed"], pdf["repeats"]):
             tokens = " ".join(blocks).split()
             gone = np.zeros(len(tokens) + 1, np.int64)
             if covered is not None and len(tokens) >= LONG:
@@ -159,21 +165,28 @@ def _unique_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + LONG, -1)
             inside = np.cumsum(gone)[:-1] > 0
-            texts.append(" ".join(tokens if inside.all() else [t for t, x in zip(tokens, inside) if not x]))
+            starts, ends = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2).T
+            for a, b in zip(starts, ends):
+                if 3 * (b - a) > 2 * len(tokens):
+                    inside[a:b] = False
+            texts.append(" ".join(t for t, x in zip(tokens, inside) if not x))
         yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts})
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: id, url, text."""
     key_type = df.schema[key].dataType.simpleString()
-    read = df.select(df[key].alias("id"), df[url].alias("url"), df[html].alias("html")).mapInPandas(_parse, f"id {key_type}, url string, named boolean, blocks array<string>")
+    read = df.select(df[key].alias("id"), df[url].alias("url"), df[html].alias("html")).mapInPandas(_parse, f"id {key_type}, url string, named boolean, blocks array<string>, unnamed array<string>")
     read = stored(read, "blocks")
     done = read.where("named").select("id", "url", F.array_join("blocks", " ").alias("text"))
     host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
-    bare = read.where(~F.col("named")).withColumn("host", host).withColumn("page", F.xxhash64("id", "url", "blocks"))
-    heads = bare.select("host", "page", "blocks").mapInPandas(_suffixes, "host string, page bigint, heads array<bigint>")
-    shown = heads.select("host", "page", F.explode(F.array_distinct("heads")).alias("head"))
+    loose = read.where(F.size("unnamed") > 0).withColumn("host", host).withColumn("page", F.xxhash64("id", "url", "named", "unnamed"))
+    heads = loose.select("host", "page", "named", "unnamed").mapInPandas(_suffixes, "host string, page bigint, named boolean, heads array<bigint>")
+    shown = heads.select("host", "page", "named", F.explode(F.array_distinct("heads")).alias("head"))
+    hosts = loose.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
     repeats = shown.distinct().groupBy("host", "head").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= SUPPORT)
-    covered = shown.join(repeats, ["host", "head"]).groupBy("page").agg(F.collect_set("head").alias("repeats"))
-    joined = bare.join(covered, "page", "left").select("id", "url", "blocks", "repeats")
+    repeats = repeats.join(hosts, "host").where(100 * F.col("pages") >= SHARE * F.col("all_pages")).select("host", "head")
+    covered = shown.where(~F.col("named")).join(repeats, ["host", "head"]).groupBy("page").agg(F.collect_set("head").alias("repeats"))
+    bare = read.where(~F.col("named")).withColumn("page", F.xxhash64("id", "url", "named", "unnamed"))
+    joined = bare.join(covered, "page", "left").select("id", "url", "unnamed", "repeats")
     return done.unionByName(joined.mapInPandas(_unique_runs, f"id {key_type}, url string, text string"))

@@ -11,7 +11,8 @@ Groups are pre-aggregated to one row per digest and map task before any shuffle,
 a third of all rows share is no hot key; the join back to rows may be split by adaptive execution.
 
 Defined cases: null counts as empty and all empty texts are equal; a null key never wins unless
-the whole group has null keys (then ``keep_id`` is null and nothing of it is kept); rows that repeat
+the whole group has null keys (then ``keep_id`` is null and no row is marked as kept, but
+``drop_copies`` keeps one of them); rows that repeat
 key and text of the row that stays are the same document and stay too; empty tables give empty
 results.
 """
@@ -162,7 +163,11 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` that stay, with all their columns: those with the smallest key of their digest."""
-    gone = stored(exact_groups(df, key, text).where(~F.col("kept")).select("id", "digest"), "gone")
-    out = df.join(gone, (df[key].eqNullSafe(gone["id"])) & (text_digest(df[text]) == gone["digest"]), "left_anti")
-    return out.select(*df.columns)
+    """Rows of ``df`` that stay, with all their columns: those with the smallest key of their digest, and one row of each digest without keys."""
+    gone = stored(exact_groups(df, key, text).where(~F.col("kept")).select("id", "digest", "keep_id"), "gone")
+    out = df.join(gone, (df[key].eqNullSafe(gone["id"])) & (text_digest(df[text]) == gone["digest"]), "left_anti").select(*df.columns)
+    # equal digests may differ in white space and other columns, so the row that stays is chosen by all of them
+    row = F.struct(*(df[c] for c in df.columns))
+    loose = df.where(df[key].isNull()).select(row.alias("row"), text_digest(df[text]).alias("digest"), F.sha2(F.to_json(row), 256).alias("rank"))
+    loose = loose.join(gone.where(F.col("keep_id").isNull()).select("digest").distinct(), "digest", "left_semi")
+    return out.unionByName(loose.groupBy("digest").agg(F.min_by("row", "rank").alias("row")).select("row.*"))

@@ -300,7 +300,7 @@ def _join(percent: int):
 
 
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: id, n (grams), component (smallest id reachable by links).
+    """One row per row of ``df``: id, row_key (hash of id and text), n (grams), component (smallest id reachable by links).
 
     Two sets link when their Jaccard similarity is at least ``percent`` / 100.
     """
@@ -338,10 +338,11 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     named = nodes.groupBy("root").agg(F.min("first").alias("component"))
     named = stored(nodes.join(named, "root").select("node", "component"), "named")
     some, none = docs.where(F.col("node").isNotNull()), docs.where(F.col("node").isNull())
-    return some.join(named, "node").select("id", "n", "component").unionByName(none.select("id", "n", F.col("id").alias("component")))
+    return some.join(named, "node").select("id", "row_key", "n", "component").unionByName(none.select("id", "row_key", "n", F.col("id").alias("component")))
 
 
 def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each group of linked ones: the one with the smallest key."""
-    gone = stored(similar_groups(df, key, text, n, percent).where(F.col("id") != F.col("component")).select("id").distinct(), "gone")
-    return df.join(gone, df[key] == gone["id"], "left_anti").select(*df.columns)
+    # an id may be that of several texts, so id and text say which row goes
+    gone = stored(similar_groups(df, key, text, n, percent).where(F.col("id") != F.col("component")).select("id", "row_key").distinct(), "gone")
+    return df.join(gone, (df[key] == gone["id"]) & (F.xxhash64(df[key], df[text]) == gone["row_key"]), "left_anti").select(*df.columns)

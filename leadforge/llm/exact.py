@@ -109,6 +109,11 @@ def shard_of(digest: Column, shards: int) -> Column:
     return F.pmod(F.conv(F.substring(F.hex(digest), 49, 12), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
 
+def shards_for(*digests: int) -> int:
+    """Shards that keep the largest of several sets of distinct digests near SHARD_DIGESTS each."""
+    return max(1, *(-(-n // SHARD_DIGESTS) for n in digests))
+
+
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """Table of shards, each a minimal perfect hash with its slots, from distinct digests."""
     dealt = history.withColumn("shard", shard_of(F.col("digest"), shards)).repartition("shard").sortWithinPartitions("shard")
@@ -136,9 +141,11 @@ def _look_up(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
 def resolve(history: DataFrame, batch: DataFrame) -> DataFrame:
     """Winner and count of every digest of ``history`` and ``batch`` (both: digest, id)."""
     old = stored(distinct_digests(history), "history")
-    shards = max(1, -(-old.count() // SHARD_DIGESTS))
+    new = stored(distinct_digests(batch), "batch")
+    # a shard holds its digests of both sides at once
+    shards = shards_for(old.count(), new.count())
     index = stored(build_index(old, shards), "index")
-    new = distinct_digests(batch).withColumn("shard", shard_of(F.col("digest"), shards))
+    new = new.withColumn("shard", shard_of(F.col("digest"), shards))
     found = stored(
         index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_look_up, "digest binary, old_winner bigint, old_n bigint, member boolean, winner bigint, n bigint"),
         "lookups",

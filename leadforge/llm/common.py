@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: This program's part of the shared folder.
+SCRATCH = f"leadforge-{uuid.uuid4().hex}"
+#: Rows of keys up to which :func:`without` broadcasts them (some 60 MB); beyond, rows are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,12 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; that setting is made only where it is unset."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary
+    folder, and a cluster an error: no other folder is known to be shared there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="leadforge-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/leadforge-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{SCRATCH}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this program has stored in the shared folder; tables that were read from it can't be read any more."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{SCRATCH}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -38,6 +55,14 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``df`` whose keys are not in ``gone``, a stored table; ``keys`` gives each of its columns as a column of ``df``. Null keys match null."""
+    right = gone.select(*(F.col(c).alias(f"__gone_{c}") for c in keys))
+    right = F.broadcast(right) if right.count() <= BROADCAST_KEYS else right
+    same = [value.eqNullSafe(right[f"__gone_{c}"]) for c, value in keys.items()]
+    return df.join(right, same, "left_anti").select(*(df[c] for c in df.columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for each row (a one-element transform binds it)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,50 +1,53 @@
 """N-gram Jaccard join by prefix trees, with connected components of the links.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams, in the global order of the
-hashes. Documents with the same set are one node. The join has three steps.
-
-1. Routing. Two sets of at most U grams that reach the threshold differ in at most D elements. The
-   ordered set is cut at fixed hash values into more than D segments, so at least one segment is
-   the same on both sides; documents that share a segment meet. A passage that many documents
-   quote does not make them meet, because whole segments must agree. D depends on the size, so
-   segments are cut by size class, and a set also takes the cuts of the next class if a partner may
-   lie there. A set with more empty segments than the cut allows for also shows the empty ones.
-   The cut has segments to spare, so partners share several; nodes that show fewer met segments
-   than any partner would share are peeled off before blocks are formed.
-2. Blocks. Connected groups of meeting nodes are dealt to tasks with their whole sets; groups over
-   a fixed size are cut into chunks and each pair of chunks becomes a task, so no task grows with
-   a group.
-3. Prefix trees. In a task the sets, ordered by falling frequency and then by hash, are stored in a trie;
-   each set walks it, sharing the partial overlap of common prefixes, and leaves a subtree when the
-   lengths that remain cannot reach the threshold. Links within one component are not repeated.
-
-All decisions are exact up to equal 64-bit hashes of different n-grams. A chunked family costs the
-square of its distinct sets in time, never in rows.
+A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with the same set
+are one node. Grams have one global order: by falling rarity as a fixed table of counters sees it,
+then by hash. The join has four steps.
+
+1. Prefixes. Sets that reach the threshold share a gram among the first ``size - ceil(threshold *
+   size) + 1`` grams of the order, so only those are shown. Rare grams come first: a passage that
+   many documents quote is hardly ever in a prefix, and most prefixes meet nobody.
+2. Blocks. Of the nodes that show the same gram the one with the smallest number is its pivot, and
+   every node belongs to the blocks of its grams' pivots. Two nodes that show a common gram are
+   in a common block, so no link is lost, and a node is in few blocks, since a family's grams have few pivots.
+   Blocks over a fixed size are cut into chunks in the order of set sizes; a chunk is a task.
+3. Prefix trees. In a task the sets, ordered by falling frequency and then by hash, are stored in a
+   trie; each set walks it, sharing the partial overlap of common prefixes, and leaves a subtree
+   when the lengths that remain cannot reach the threshold, or when all of it is in the set's component already.
+   A few seeds of a block are put into each of its chunks, so a family's chunks join one component.
+4. The rest. Pairs across chunks are only open where a block still has several components: those
+   outside of its largest one are compared with every chunk that their sizes can reach.
+
+No pairs of a group are ever listed: tasks hold sets and return a spanning forest of their links.
+All decisions are exact up to equal 64-bit hashes of different n-grams. Where a large block falls
+apart into many components, step 4 costs the product of its rest and its chunks within reach, in time and in copies.
 
 Defined cases: null and empty texts have no set and link with nothing; texts with fewer words than
 n have their whole word sequence as the only gram; equal sets, repeated rows included, are linked;
-null keys never name a component; empty tables give empty results.
+null keys never name a component; empty tables give empty results; columns of the input are not
+touched, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from leadforge.llm.common import slices, stored
+from leadforge.llm.common import slices, stored, without
 from leadforge.llm.components import components
 
-#: Sets and grams of a chunk, at most on average.
-CHUNK_SETS, CHUNK_GRAMS = 800, 1_000_000
-#: Upper ends of size classes grow by this factor.
-CLASS_GROWTH = 1.5
+#: Sets and grams of a chunk, about; and how many members of a block go to each of its chunks besides the pivot.
+CHUNK_SETS, CHUNK_GRAMS, SEEDS = 400, 1_000_000, 3
+#: Bits that number a counter of the rarity table (2 MB for a task, whatever the input), and of one of its parts.
+COUNTER_BITS, COUNTER_PART_BITS = 20, 14
 #: Bits of the maps that every task gets (2 MB, whatever the input), and of one of their blocks.
 MAP_BITS, MAP_BLOCK_BITS = 24, 15
 #: Rows of the table of chosen nodes (about 64 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
@@ -77,78 +80,67 @@ def set_node(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-@lru_cache(maxsize=8)
-def size_classes() -> np.ndarray:
-    """Smallest size of each class."""
-    lows = [1]
-    while lows[-1] < 1 << 40:
-        lows.append(max(lows[-1] + 1, int(lows[-1] * CLASS_GROWTH)))
-    return np.array(lows, np.int64)
+def _node_number(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def counter_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Places of counts on a fine logarithmic scale of 16 bits."""
+    return np.minimum(65535, 2048 * np.log2(1.0 + counts)).astype(np.uint16)
 
-def cuts(size_class: int, percent: int) -> tuple[int, int]:
-    """Segments of a class, and how many of them may be empty."""
-    most = int(size_classes()[size_class + 1]) - 1
-    differ = (100 - percent) * 2 * most // (100 + percent)
-    spare = -(-differ * 8 // 100) + 3
-    return (differ + 1 + spare, spare) if differ else (0, 0)
 
+def prefix(grams: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """Names of the first grams of a set in the global order, as many as a partner's prefix must meet.
 
-def segment_parts(grams: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(size class, need, signatures of segments) of a set, for its own class and the next one if partners may lie there.
+    Name and order are one value: the level of the gram's counter over 48 bits of its hash. Grams that
+    share a value are one to the order, which can only make sets meet that need not.
+    """
+    if not len(grams):
+        return grams
+    names = (levels[counter_of(grams)].astype(np.uint64) << np.uint64(48)) | (grams & np.uint64((1 << 48) - 1))
+    shown = len(grams) + 1 + (-percent * len(grams)) // 100
+    return np.partition(names, shown - 1)[:shown] if shown < len(names) else names
+
+
+def trie(paths: list[np.ndarray], sizes: np.ndarray) -> tuple[list, list[int]]:
+    """Compressed prefix tree and the order of its sets: nodes [segment, children, low, mid, high, smallest set, longest path].
 
-    ``need``: how many of these segments any partner of that class shares at least.
+    The sets of a node are at places low to high of the order; those before mid end at the node.
     """
-    out, lows = [], size_classes()
-    own = int(np.searchsorted(lows, len(grams), "right")) - 1
-    for c in (own, own + 1):
-        m, spare = cuts(c, percent)
-        if not len(grams) or not m or (c > own and 100 * len(grams) < percent * int(lows[c])):
-            continue
-        at = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        name = np.uint64(c << 40)
-        signed = _mix(np.add.reduceat(_mix(grams), first) ^ _mix(at[first] + name))
-        empty = m - len(first)
-        if empty > spare:
-            signed = np.concatenate([signed, _mix(~_mix(np.setdiff1d(np.arange(m, dtype=np.uint64), at[first]) + name))])
-        out.append((c, max(1, 1 + spare - empty), signed))
-    return out
-
-
-def segments(grams: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set."""
-    return np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in segment_parts(grams, percent))])
-
-
-def trie(paths: list[np.ndarray], sizes: np.ndarray) -> list:
-    """Compressed prefix tree: nodes [segment, children, ends, smallest set, longest path]."""
     order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
-    root: list = [np.zeros(0, np.int64), [], [], 0, 0]
-    stack = [(root, order, 0)]
+    lengths = [len(paths[i]) for i in order]
+    ordered = sizes[order]
+    root: list = [None, [], 0, 0, len(order), 0, 0]
+    stack = [(root, 0)]
     while stack:
-        node, ids, depth = stack.pop()
-        a, b = paths[ids[0]], paths[ids[-1]]
+        node, depth = stack.pop()
+        low, high = node[2], node[4]
+        a, b = paths[order[low]], paths[order[high - 1]]
         end = min(len(a), len(b))
         differ = np.flatnonzero(a[depth:end] != b[depth:end])
         common = depth + int(differ[0]) if len(differ) else end
-        node[0], node[3], node[4] = a[depth:common], int(sizes[ids].min()), max(len(paths[i]) for i in ids)
-        node[2] = [i for i in ids if len(paths[i]) == common]
-        rest = ids[len(node[2]) :]
-        start = 0
-        for k in range(1, len(rest) + 1):
-            if k == len(rest) or paths[rest[k]][common] != paths[rest[start]][common]:
-                child: list = [None, [], [], 0, 0]
+        mid = low
+        while mid < high and lengths[mid] == common:
+            mid += 1
+        node[0], node[3], node[5], node[6] = a[depth:common], mid, int(ordered[low:high].min()), max(lengths[low:high])
+        start = mid
+        for k in range(mid + 1, high + 1):
+            if k == high or paths[order[k]][common] != paths[order[start]][common]:
+                child: list = [None, [], start, start, k, 0, 0]
                 node[1].append(child)
-                stack.append((child, rest[start:k], common))
+                stack.append((child, common))
                 start = k
-    return root
+    return root, order
 
 
-def trie_join(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def trie_join(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join components: a spanning forest of the pairs that reach the threshold.
 
-    ``side``: only pairs of different sides are compared.
+    ``side``: only pairs of different sides are compared. ``label``: sets with the same one are in one component already.
     """
     if len(sets) < 2:
         return []
@@ -157,101 +149,110 @@ def trie_join(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, -count))] = np.arange(len(values))
     shared = int((count > 1).sum())
-    ranked = rank[place]
-    paths = [np.sort(p[p < shared]) for p in np.split(ranked, np.cumsum(sizes)[:-1])]
-    root = trie(paths, sizes)
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links, mask = [], np.zeros(shared + 1, np.int64)
-    for x in range(len(sets)):
-        path, size = paths[x], int(sizes[x])
-        mask[path + 1] = 1
-        passed = np.cumsum(mask)
-        mask[path + 1] = 0
+    paths = [np.sort(p[p < shared]) for p in np.split(rank[place], np.cumsum(sizes)[:-1])]
+    root, order = trie(paths, sizes)
+    of = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1][order]
+    sides = None if side is None else side[order].tolist()
+    ordered, links, held = sizes[order].tolist(), [], np.zeros(shared, bool)
+    for at in range(1, len(order)):
+        path, size, own = paths[order[at]], ordered[at], of[at]
+        held[path] = True
         stack = [(root, 0, 0)]
         while stack:
-            (segment, children, ends, smallest, longest), overlap, depth = stack.pop()
+            (segment, children, low, mid, high, smallest, longest), overlap, depth = stack.pop()
+            if low >= at or (of[low : min(high, at)] == own).all():
+                continue
             gone = 0
             if len(segment):
-                overlap += int((passed[segment + 1] - passed[segment]).sum())
+                overlap += int(np.count_nonzero(held[segment]))
                 depth += len(segment)
-                gone = int(passed[segment[-1] + 1])
-            elif depth:
-                continue
-            need = percent * (size + smallest)
-            if (100 + percent) * (overlap + min(len(path) - gone, longest - depth)) < need:
+                gone = int(np.searchsorted(path, segment[-1], "right"))
+            if (100 + percent) * (overlap + min(len(path) - gone, longest - depth)) < percent * (size + smallest):
                 continue
-            for y in ends:
-                if y < x and (side is None or side[x] != side[y]) and (100 + percent) * overlap >= percent * (size + int(sizes[y])):
-                    a, b = find(x), find(y)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        links.append((y, x))
+            for y in range(low, min(mid, at)):
+                if of[y] != own and (sides is None or sides[y] != sides[at]) and overlap and (100 + percent) * overlap >= percent * (size + ordered[y]):
+                    links.append((order[y], order[at]))
+                    of[of == own] = of[y]
+                    own = of[y]
             stack.extend((child, overlap, depth) for child in children)
+        held[path] = False
     return links
 
 
-def _node_number(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
-
-
 def _describe(n: int):
+    """A row for each document, and at the end of a task the counters of its grams, part by part."""
+    names = ["id", "row_key", "n", "node", "nid", "part", "counts"]
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, ids = np.zeros(1 << COUNTER_BITS, np.uint32), None
         for pdf in batches:
-            sets = [gram_set(t, n) for t in pdf["text"]]
-            nodes = [set_node(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({
-                "id": pdf["id"], "row_key": pdf["row_key"], "n": [len(s) for s in sets], "node": nodes,
-                "nid": pd.Series([None if x is None else _node_number(x) for x in nodes], dtype="Int64", index=pdf.index),
-            })
+            ids = pdf["id"]
+            nodes, sizes, held, waiting = [], [], [], 0
+            for text in pdf["text"]:
+                s = gram_set(text, n)
+                nodes.append(set_node(s) if len(s) else None)
+                sizes.append(len(s))
+                held.append(s)
+                waiting += len(s)
+                if waiting > 1_000_000:
+                    counts += np.bincount(counter_of(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
+                    held, waiting = [], 0
+            if waiting:
+                counts += np.bincount(counter_of(np.concatenate(held)), minlength=len(counts)).astype(np.uint32)
+            numbers = pd.Series([None if x is None else _node_number(x) for x in nodes], dtype="Int64", index=pdf.index)
+            yield pd.DataFrame({"id": ids, "row_key": pdf["row_key"], "n": sizes, "node": nodes, "nid": numbers, "part": pd.Series(pd.NA, dtype="Int64", index=pdf.index), "counts": None})[names]
+        parts = counts.reshape(-1, 1 << COUNTER_PART_BITS)
+        some = np.flatnonzero(parts.any(axis=1))
+        if len(some):
+            none = pd.Series(pd.NA, dtype="Int64", index=range(len(some)))
+            yield pd.DataFrame({"id": ids.iloc[:0].reindex(range(len(some))), "row_key": none, "n": none, "node": None, "nid": none, "part": some, "counts": [zlib.compress(parts[i].tobytes(), 1) for i in some]})[names]
 
     return describe
 
 
-SHOWN = "nid bigint, class int, need int, segment bigint"
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for part, counts in zip(pdf["part"].tolist(), pdf["counts"]):
+            counts = np.frombuffer(zlib.decompress(counts), np.uint32)
+            total[part] = total[part] + counts if part in total else counts.astype(np.uint64)
+    yield pd.DataFrame({"part": list(total), "levels": [levels_of(x).tobytes() for x in total.values()]})
 
 
-def _segments_of(n: int, percent: int, shared=None):
-    """SHOWN rows; with a map, only segments that may be in it."""
+def rarity_levels(counted: DataFrame) -> np.ndarray:
+    """Levels of all counters from rows (part, counts)."""
+    out = np.zeros((1 << (COUNTER_BITS - COUNTER_PART_BITS), 1 << COUNTER_PART_BITS), np.uint16)
+    for row in counted.repartition("part").mapInPandas(_summed, "part int, levels binary").toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["levels"], np.uint16)
+    return out.reshape(-1)
 
-    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [(_node_number(set_node(s)), *p) for t in pdf["text"] if len(s := gram_set(t, n)) for p in segment_parts(s, percent)]
-            if not parts:
-                continue
-            segment = np.concatenate([p[3] for p in parts]).view(np.int64)
-            hit = slice(None) if shared is None else mapped(shared.value, segment)
-            lengths = [len(p[3]) for p in parts]
-            nid, size_class, need = (np.repeat(np.array([p[i] for p in parts], np.int64), lengths)[hit] for i in range(3))
-            yield pd.DataFrame({"nid": nid, "class": size_class, "need": need, "segment": segment[hit]})
 
-    return show
+SHOWN = "nid bigint, gram bigint"
 
 
-def met_segments(shown: DataFrame) -> DataFrame:
-    """(segment, pivot) of the segments that several nodes show; pivot is the smallest of them."""
-    met = shown.groupBy("segment").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top"))
-    return met.where(F.col("pivot") != F.col("top")).select("segment", "pivot")
+def _prefixes(n: int, percent: int, levels, met=None):
+    """SHOWN rows; with a map, only grams that may be in it."""
 
+    def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            numbers, parts = [], []
+            for text in pdf["text"]:
+                if len(s := gram_set(text, n)):
+                    shown = _mix(prefix(s, percent, levels.value)).view(np.int64)
+                    shown = shown if met is None else shown[mapped(met.value, shown)]
+                    if len(shown):
+                        numbers.append(_node_number(set_node(s)))
+                        parts.append(shown)
+            if parts:
+                yield pd.DataFrame({"nid": np.repeat(np.array(numbers, np.int64), [len(p) for p in parts]), "gram": np.concatenate(parts)})
 
-def peeled(shown: DataFrame, met: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows and met segments of the nodes that show as many met segments as a partner would share.
+    return show
 
-    Dropping a node can take others below their need, so this is done in rounds; each may stop early
-    without losing a link, since it only ever drops nodes that cannot have a partner.
-    """
-    for _ in range(rounds):
-        rows = stored(shown.join(met.select("segment"), "segment", "left_semi").distinct(), "rows")
-        enough = rows.groupBy("nid", "class").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).where("has >= least").select("nid", "class")
-        shown = stored(rows.join(enough, ["nid", "class"], "left_semi"), "peeled")
-        met = stored(met_segments(shown), "met")
-    return shown, met
+
+def met_grams(shown: DataFrame) -> DataFrame:
+    """(gram, pivot) of the grams that several nodes show; pivot is the smallest of them."""
+    met = shown.groupBy("gram").agg(F.min("nid").alias("pivot"), F.max("nid").alias("top"))
+    return met.where(F.col("pivot") != F.col("top")).select("gram", "pivot")
 
 
 def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,7 +264,7 @@ def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def key_map(df: DataFrame, key: str) -> np.ndarray:
     """A bit for the leading MAP_BITS bits of every value of a long column, packed; of a fixed size."""
     lead = F.shiftrightunsigned(key, 64 - MAP_BITS)
-    bits = df.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit"))
+    bits = df.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit")).distinct()
     out = np.zeros((1 << (MAP_BITS - MAP_BLOCK_BITS), 1 << (MAP_BLOCK_BITS - 3)), np.uint8)
     for row in bits.groupBy("block").applyInPandas(_map_block, "block int, bits binary").toLocalIterator():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
@@ -276,12 +277,14 @@ def mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _sets(n: int, shared):
+def _sets(n: int, wanted):
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[mapped(shared.value, pdf["row_key"].to_numpy())]
-            sets = [gram_set(t, n) for t in pdf["text"]]
-            yield pd.DataFrame({"row_key": pdf["row_key"], "made": [set_node(s) for s in sets], "grams": [s.tobytes() for s in sets]})
+            pdf = pdf[mapped(wanted.value, pdf["row_key"].to_numpy())]
+            for i in range(0, len(pdf), 500):
+                some = pdf.iloc[i : i + 500]
+                sets = [gram_set(t, n) for t in some["text"]]
+                yield pd.DataFrame({"row_key": some["row_key"], "made": [set_node(s) for s in sets], "grams": [s.tobytes() for s in sets]})
 
     return load
 
@@ -290,53 +293,102 @@ def _join(percent: int):
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for task in slices(batches, ["block", "low", "high"]):
             task = task.drop_duplicates("node")
-            sets = [np.frombuffer(g, np.uint64) for g in task["grams"]]
-            side = task["chunk"].to_numpy() if task["low"].iloc[0] != task["high"].iloc[0] else None
-            found, node = trie_join(sets, percent, side), task["node"].tolist()
+            sets, node = [np.frombuffer(g, np.uint64) for g in task["grams"]], task["node"].tolist()
+            side = task["side"].to_numpy()
+            label = task["label"].to_numpy() if task["label"].iloc[0] is not None else None
+            found = trie_join(sets, percent, side if side.any() else None, label)
             if found:
                 yield pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]})
 
     return join
 
 
+def chunked(members: DataFrame, group: list[str]) -> DataFrame:
+    """``members`` with ``chunk``: each group (of nodes with sizes n) cut in the order of sizes, sizes of many nodes by hash."""
+    by_size = members.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("many"))
+    weight = F.col("many") * F.greatest(F.lit(1.0 / CHUNK_SETS), F.col("n") / float(CHUNK_GRAMS))
+    before = F.coalesce(F.sum(weight).over(W.partitionBy(*group).orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    cut = by_size.select(*group, "n", F.floor(before).cast("int").alias("base"), F.greatest(F.lit(1), F.ceil(weight)).cast("int").alias("spread"))
+    return members.join(cut, [*group, "n"]).withColumn("chunk", F.col("base") + F.pmod(F.xxhash64("node"), F.col("spread")).cast("int")).drop("base", "spread")
+
+
+TASK = ["block", "low", "high", "side", "label", "node"]
+
+
+def _links(source: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that the tries of all tasks find; ``dealt``: row_key and the columns of TASK."""
+    # only the chosen rows' texts are turned into sets again; no text is shuffled
+    wanted = source.sparkSession.sparkContext.broadcast(key_map(dealt, "row_key"))
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
+    tasks = sets.join(dealt, "row_key").where(F.col("made") == F.col("node")).select(*TASK, "grams")
+    tasks = tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
+    return stored(tasks.mapInPandas(_join(percent), "a binary, b binary"), "links")
+
+
+def first_tasks(members: DataFrame) -> DataFrame:
+    """Every chunk of every block, with the block's pivot and seeds in each."""
+    chunks = members.select("block", "chunk").distinct()
+    row = F.struct("node", "row_key", "chunk")
+    pivots = members.where(F.col("nid") == F.col("block")).select("block", row.alias("row"))
+    seeds = members.groupBy("block", F.pmod(F.xxhash64("node"), F.lit(SEEDS)).alias("k")).agg(F.min_by(row, F.xxhash64("node", F.lit(1))).alias("row")).select("block", "row")
+    more = pivots.unionByName(seeds).join(chunks, "block").where(F.col("row.chunk") != F.col("chunk"))
+    dealt = members.select("block", "chunk", "node", "row_key").unionByName(more.select("block", "chunk", "row.node", "row.row_key").distinct())
+    return dealt.select("row_key", "block", F.col("chunk").alias("low"), F.col("chunk").alias("high"), F.lit(0).alias("side"), F.lit(None).cast("binary").alias("label"), "node")
+
+
+def rest_tasks(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+    """What the chunks leave open: in blocks of several chunks and components, the nodes outside of the
+    largest component against every chunk that their sizes can reach. None if nothing is open."""
+    several = members.groupBy("block").agg(F.max("chunk").alias("top")).where("top > 0").select("block")
+    inside = members.drop("chunk").join(several, "block").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    inside = stored(inside, "inside")
+    counts = inside.groupBy("block", "label").agg(F.count(F.lit(1)).alias("many"))
+    largest = counts.groupBy("block").agg(F.max_by("label", F.struct("many", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    if largest.isEmpty():
+        return None
+    rest = inside.join(largest, "block").withColumn("rest", F.col("label") != F.col("largest")).select("block", "rest", "label", "node", "n", "row_key")
+    rest = stored(chunked(rest, ["block", "rest"]), "rest")
+    spans = stored(rest.groupBy("block", "rest", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most")), "spans")
+    one = spans.where("rest").select("block", F.col("chunk").alias("low"), F.col("least").alias("a"), F.col("most").alias("b"))
+    other = spans.select("block", F.col("rest").alias("open"), F.col("chunk").alias("other"), F.col("least").alias("c"), F.col("most").alias("d"))
+    pairs = one.join(other, "block").where((~F.col("open") | (F.col("low") <= F.col("other"))) & (100 * F.col("b") >= percent * F.col("c")) & (100 * F.col("d") >= percent * F.col("a")))
+    pairs = pairs.withColumn("high", F.when(F.col("open"), F.col("other")).otherwise(-1 - F.col("other")))
+    sides = F.array(F.struct(F.lit(True).alias("rest"), F.col("low").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("open").alias("rest"), F.col("other").alias("chunk"), F.lit(1).alias("side")))
+    needs = pairs.select("block", "low", "high", F.explode(F.when(F.col("low") == F.col("high"), F.slice(sides, 1, 1)).otherwise(sides)).alias("x")).select("block", "low", "high", "x.*")
+    return stored(rest.join(needs, ["block", "rest", "chunk"]).select("row_key", *TASK), "tasks")
+
+
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: id, row_key (hash of id and text), n (grams), component (smallest id reachable by links).
 
-    Two sets link when their Jaccard similarity is at least ``percent`` / 100.
+    Two sets link when their Jaccard similarity is at least ``percent`` / 100, from 1 to 100 percent.
     """
+    if not 1 <= percent <= 100 or n < 1:
+        raise ValueError("percent is from 1 to 100 and n at least 1")
     source = df.select(df[key].alias("id"), df[text].alias("text"), F.xxhash64(df[key], df[text]).alias("row_key"))
     id_type = source.schema["id"].dataType.simpleString()
-    docs = stored(source.mapInPandas(_describe(n), f"id {id_type}, row_key bigint, n bigint, node binary, nid bigint"), "described")
+    described = stored(source.mapInPandas(_describe(n), f"id {id_type}, row_key bigint, n bigint, node binary, nid bigint, part int, counts binary"), "described")
+    docs = described.where(F.col("part").isNull()).select("id", "row_key", "n", "node", "nid")
+    nodes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("nid").alias("nid"), F.min("row_key").alias("row_key"), F.max("n").alias("n"), F.min("id").alias("first"))
+    nodes = stored(nodes, "nodes")
     # sets are made anew where they are needed: that costs less than to keep or move them
-    met = stored(met_segments(source.select("text").mapInPandas(_segments_of(n, percent), SHOWN)), "met")
-    # most segments belong to one set: they are dropped where they are made, before any second shuffle
-    broadcast = df.sparkSession.sparkContext.broadcast
-    perhaps = source.select("text").mapInPandas(_segments_of(n, percent, broadcast(key_map(met, "segment"))), SHOWN)
-    shown, met = peeled(perhaps, met)
-    edges = shown.join(met, "segment").where(F.col("nid") != F.col("pivot")).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
-    blocks = stored(components(edges), "blocks")
-
-    # one row of each node in a block; chunks are counted before any set is loaded
-    chosen = docs.select("row_key", "node", "n", "nid").join(blocks.select(F.col("node").alias("nid"), F.col("root").alias("block")), "nid")
-    chosen = stored(chosen.groupBy("node", "block").agg(F.min("row_key").alias("row_key"), F.max("n").alias("n")), "chosen")
-    grown = chosen.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_grams"))
-    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("all_grams") / CHUNK_GRAMS)).cast("int")
-    dealt = chosen.join(grown.select("block", chunks.alias("chunks")), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # only the chosen rows' texts are turned into sets again; no text is shuffled
-    wanted = broadcast(key_map(chosen, "row_key"))
-    dealt = F.broadcast(dealt) if chosen.count() <= BROADCAST_ROWS else dealt
-    sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
-    dealt = sets.join(dealt, "row_key").where(F.col("made") == F.col("node"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = dealt.select("block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "grams")
-    tasks = tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
-    links = stored(tasks.mapInPandas(_join(percent), "a binary, b binary"), "links")
-
+    broadcast, texts = df.sparkSession.sparkContext.broadcast, source.select("text")
+    levels = broadcast(rarity_levels(described.where(F.col("part").isNotNull()).select("part", "counts")))
+    met = stored(met_grams(texts.mapInPandas(_prefixes(n, percent, levels), SHOWN)), "met")
+    # most grams belong to one set: they are dropped where they are made, before any second shuffle
+    shown = texts.mapInPandas(_prefixes(n, percent, levels, broadcast(key_map(met, "gram"))), SHOWN)
+    members = shown.join(met, "gram").select("nid", F.col("pivot").alias("block")).distinct()
+    members = stored(chunked(members.join(nodes.drop("first"), "nid"), ["block"]), "members")
+    links = _links(source, stored(first_tasks(members), "tasks"), n, percent)
     roots = stored(components(links), "roots")
-    nodes = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first"))
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = nodes.groupBy("root").agg(F.min("first").alias("component"))
-    named = stored(nodes.join(named, "root").select("node", "component"), "named")
+    if (tasks := rest_tasks(members, roots, percent)) is not None:
+        links = links.unionByName(_links(source, tasks, n, percent))
+        roots = stored(components(links), "roots")
+
+    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component")), "least")
+    named = stored(named.join(least, "root").select("node", "component"), "named")
     some, none = docs.where(F.col("node").isNotNull()), docs.where(F.col("node").isNull())
     return some.join(named, "node").select("id", "row_key", "n", "component").unionByName(none.select("id", "row_key", "n", F.col("id").alias("component")))
 
@@ -344,5 +396,5 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
 def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each group of linked ones: the one with the smallest key."""
     # an id may be that of several texts, so id and text say which row goes
-    gone = stored(similar_groups(df, key, text, n, percent).where(F.col("id") != F.col("component")).select("id", "row_key").distinct(), "gone")
-    return df.join(gone, (df[key] == gone["id"]) & (F.xxhash64(df[key], df[text]) == gone["row_key"]), "left_anti").select(*df.columns)
+    gone = similar_groups(df, key, text, n, percent).where(F.col("id") != F.col("component")).select("id", "row_key").distinct()
+    return without(df, stored(gone, "gone"), {"id": df[key], "row_key": F.xxhash64(df[key], df[text])})

@@ -170,15 +170,12 @@ def test_routing_and_trie_lose_no_link(percent):
                 if len(s := np.unique(np.concatenate([kept, more]))):
                     sets.append(s)
         sets = list({s.tobytes(): s for s in sets}.values())
-        routes = [set(ngrams.segments(s, percent).tolist()) for s in sets]
-        links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
-        assert all(routes[i] & routes[j] for i, j in links)
-        parts = [{c: (need, set(x.tolist())) for c, need, x in ngrams.segment_parts(s, percent)} for s in sets]
-        for i, j in links:
-            meeting = [c for c in parts[i] if c in parts[j]]
-            large = max(i, j, key=lambda k: len(sets[k]))
-            own = min(parts[large])
-            assert own in meeting and len(parts[i][own][1] & parts[j][own][1]) >= max(parts[i][own][0], parts[j][own][0])
+        counts = np.bincount(ngrams.counter_of(np.concatenate(sets)), minlength=1 << ngrams.COUNTER_BITS)
+        for levels in (ngrams.levels_of(counts), np.zeros_like(counts, dtype=np.uint16)):
+            routes = [set(ngrams.prefix(s, percent, levels).tolist()) for s in sets]
+            assert all(len(r) <= len(s) - -(-percent * len(s) // 100) + 1 for r, s in zip(routes, sets))
+            links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+            assert all(routes[i] & routes[j] for i, j in links)
 
         def classes(pairs):
             root = list(range(len(sets)))
@@ -188,6 +185,39 @@ def test_routing_and_trie_lose_no_link(percent):
             return root
 
         assert classes(links) == classes(ngrams.trie_join(sets, percent))
+        side = rng.integers(0, 2, len(sets))
+        across = [(i, j) for i, j in links if side[i] != side[j]]
+        assert classes(across) == classes(ngrams.trie_join(sets, percent, side))
+        label = np.array(classes(links[::2]))
+        assert classes(links) == classes([*links[::2], *ngrams.trie_join(sets, percent, None, label)])
+
+
+@pytest.mark.parametrize("n,percent,edits", [(5, 80, 9), (5, 80, 14), (4, 85, 9), (3, 50, 60)])
+def test_families_near_the_threshold_in_many_chunks(spark, monkeypatch, n, percent, edits):
+    """Families whose members partly link, a passage that all texts share, and several chunks of each block."""
+    monkeypatch.setattr(ngrams, "CHUNK_SETS", 7)
+    rng = np.random.default_rng(edits)
+    quoted = [f"q{i}" for i in range(60)]
+    rows = []
+    for family in range(3):
+        base = [f"f{family}x{i}" for i in range(300)]
+        for k in range(40):
+            words = list(base)
+            for at in rng.choice(300, rng.integers(0, edits), replace=False):
+                words[at] = f"e{family}y{rng.integers(0, 40)}"
+            rows.append((len(rows), " ".join(words[: rng.integers(250, 301)] + quoted[: rng.integers(0, 60)])))
+    sets = [{tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    used = []
+    links = ngrams._links
+    monkeypatch.setattr(ngrams, "_links", lambda source, dealt, *a: used.append(dealt.groupBy("block").agg(F.countDistinct("low", "high").alias("n")).agg(F.max("n")).first()[0]) or links(source, dealt, *a))
+    got = ngrams.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), n=n, percent=percent).collect()
+    assert {x["id"]: x["component"] for x in got} == dict(enumerate(root))
+    assert len(used) == 2 and used[0] > 3
 
 
 def test_pieces_match_the_library(docs, rows, nothing):

@@ -31,8 +31,10 @@ touched, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,7 @@ CHUNK_SETS, CHUNK_GRAMS, SEEDS = 400, 1_000_000, 3
 #: Bits that number a counter of the rarity table (2 MB for a task, whatever the input), and of one of its parts.
 COUNTER_BITS, COUNTER_PART_BITS = 20, 14
 #: Bits of the maps that every task gets (2 MB, whatever the input), and of one of their blocks.
-MAP_BITS, MAP_BLOCK_BITS = 24, 15
+MAP_BITS, MAP_BLOCK_BITS = 24, 18
 #: Rows of the table of chosen nodes (about 64 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -63,17 +65,87 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
-    """Ordered 64-bit hashes of the distinct word n-grams of an A-Z-lower-cased text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    width = min(n, len(words))
-    grams = np.full(len(words) - width + 1, np.uint64(width))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Fixed random values: one for each byte, and an odd base of the word polynomial.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+#: Bytes that are hashed at once.
+WINDOW = 1 << 16
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse, modulo 2**64."""
+    inverse = np.full(WINDOW, np.uint64(pow(_BASE, -1, 1 << 64)))
+    power = np.full(WINDOW, np.uint64(_BASE))
+    inverse[0] = power[0] = 1
+    return np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every word of at most WINDOW bytes: a polynomial of its bytes, from differences of running sums."""
+    raw = np.frombuffer(data, np.uint8)
+    power, inverse = _powers()
+    starts, ends = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True)).reshape(-1, 2).T
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
+    return starts, _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Place and 64-bit hash of every word of a byte string, window by window; a word that fills a window is hashed on its own."""
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(at + WINDOW, len(data))
+        if end < len(data) or end - at == WINDOW:
+            cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut < 0:
+                word = re.compile(rb"[^ \t\n\x0b\x0c\r]+").match(data, at)
+                starts.append(np.array([at]))
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(word[0])], np.uint64))
+                at = word.end()
+                continue
+            end = cut + 1
+        s, h = _hashed(data[at:end])
+        starts.append(s + at)
+        hashes.append(h)
+        at = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    grams = np.full(max(0, len(words) - width + 1), np.uint64(width))
     for k in range(width):
-        grams = _mix(grams + hashes[k : len(words) - width + 1 + k])
-    return np.unique(grams)
+        grams = _mix(grams + words[k : len(words) - width + 1 + k])
+    return grams
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """For each text the ordered 64-bit hashes of the distinct word n-grams of its A-Z-lower-cased form."""
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    first = 0
+    while first < len(encoded):
+        last, size = first + 1, len(encoded[first])
+        while last < len(encoded) and size + len(encoded[last]) < WINDOW:
+            size += len(encoded[last]) + 1
+            last += 1
+        part = encoded[first:last]
+        places, words = word_hashes(b"\n".join(part).lower())
+        bounds = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in part)]))
+        grams = _grams(words, n)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield _distinct(grams[a : b - n + 1] if b - a >= n else _grams(words[a:b], b - a))
+        first = last
+
+
+def gram_set(text: str | None, n: int) -> np.ndarray:
+    """The set of a single text."""
+    return next(gram_sets([text], n))
 
 
 def set_node(grams: np.ndarray) -> bytes:
@@ -188,8 +260,7 @@ def _describe(n: int):
         for pdf in batches:
             ids = pdf["id"]
             nodes, sizes, held, waiting = [], [], [], 0
-            for text in pdf["text"]:
-                s = gram_set(text, n)
+            for s in gram_sets(pdf["text"].tolist(), n):
                 nodes.append(set_node(s) if len(s) else None)
                 sizes.append(len(s))
                 held.append(s)
@@ -236,8 +307,8 @@ def _prefixes(n: int, percent: int, levels, met=None):
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             numbers, parts = [], []
-            for text in pdf["text"]:
-                if len(s := gram_set(text, n)):
+            for s in gram_sets(pdf["text"].tolist(), n):
+                if len(s):
                     shown = _mix(prefix(s, percent, levels.value)).view(np.int64)
                     shown = shown if met is None else shown[mapped(met.value, shown)]
                     if len(shown):
@@ -283,7 +354,7 @@ def _sets(n: int, wanted):
             pdf = pdf[mapped(wanted.value, pdf["row_key"].to_numpy())]
             for i in range(0, len(pdf), 500):
                 some = pdf.iloc[i : i + 500]
-                sets = [gram_set(t, n) for t in some["text"]]
+                sets = list(gram_sets(some["text"].tolist(), n))
                 yield pd.DataFrame({"row_key": some["row_key"], "made": [set_node(s) for s in sets], "grams": [s.tobytes() for s in sets]})
 
     return load

@@ -11,10 +11,10 @@ Groups are pre-aggregated to one row per digest and map task before any shuffle,
 a third of all rows share is no hot key; the join back to rows may be split by adaptive execution.
 
 Defined cases: null counts as empty and all empty texts are equal; a null key never wins unless
-the whole group has null keys (then ``keep_id`` is null and no row is marked as kept, but
-``drop_copies`` keeps one of them); rows that repeat
-key and text of the row that stays are the same document and stay too; empty tables give empty
-results.
+the whole group has null keys (then ``keep_id`` is null and no row is marked as kept); rows that repeat
+key and text of the row that stays are the same document and marked as kept too. ``drop_copies`` keeps
+one row of each text whatever its keys: where several rows could stay, the first by a hash of all their columns.
+Keys may be of any ordered type; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from leadforge.llm.common import SPACE, slices, stored
+from leadforge.llm.common import SPACE, slices, stored, without
 
 #: Digests of a shard, on average: a bounded amount of work for one Python call.
 SHARD_DIGESTS = 4096
@@ -34,7 +35,7 @@ SHARD_DIGESTS = 4096
 ROOM = 1.5
 MAX_LEVELS = 200
 
-SHARDS = "shard int, sizes array<int>, bits binary, digests binary, winners array<bigint>, counts array<bigint>"
+SHARDS = "shard int, sizes array<int>, bits binary, digests binary, winners array<{id}>, counts array<bigint>"
 
 
 def text_digest(text: Column) -> Column:
@@ -91,13 +92,21 @@ def _matrix(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
 
 
+def _plain(keys: pd.Series) -> list:
+    """Keys as Python values; whole numbers stay whole beside nulls."""
+    numbers = keys.dtype.kind in "fiu"
+    return [None if pd.isna(x) else int(x) if numbers else x for x in keys]
+
+
 def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for shard in slices(batches, ["shard"]):
         digests = _matrix(shard["digest"])
         sizes, bits, slot = build_function(digests)
         order = np.argsort(slot)
-        winners = [None if pd.isna(x) else int(x) for x in shard["winner"].iloc[order]]
-        yield pd.DataFrame({"shard": [int(shard["shard"].iloc[0])], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "digests": [digests[order].tobytes()], "winners": [winners], "counts": [shard["n"].iloc[order].astype("int64").tolist()]})
+        yield pd.DataFrame({
+            "shard": [int(shard["shard"].iloc[0])], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "digests": [digests[order].tobytes()],
+            "winners": [_plain(shard["winner"].iloc[order])], "counts": [shard["n"].iloc[order].astype("int64").tolist()],
+        })
 
 
 def distinct_digests(digests: DataFrame) -> DataFrame:
@@ -117,13 +126,12 @@ def shards_for(*digests: int) -> int:
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """Table of shards, each a minimal perfect hash with its slots, from distinct digests."""
     dealt = history.withColumn("shard", shard_of(F.col("digest"), shards)).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInPandas(_build, SHARDS)
+    return dealt.mapInPandas(_build, SHARDS.format(id=history.schema["winner"].dataType.simpleString()))
 
 
 def _look_up(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
     """Batch digests with what history knows of them (nulls for those that are not members)."""
-    winner, n = pd.Series([None] * len(batch), dtype="Int64"), pd.Series(0, index=range(len(batch)), dtype="int64")
-    member = np.zeros(len(batch), bool)
+    winner, n, member = np.full(len(batch), None, object), np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
     if len(index) and len(batch):
         row = index.iloc[0]
         sizes = [int(x) for x in row["sizes"]]
@@ -132,10 +140,15 @@ def _look_up(index: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         slot = slots_of(asked, sizes, bits)
         member = slot >= 0
         member[member] = (held[slot[member]] == asked[member]).all(axis=1)
-        at = np.flatnonzero(member)
-        winner.iloc[at] = pd.array([row["winners"][s] for s in slot[at]], dtype="Int64")
-        n.iloc[at] = [int(row["counts"][s]) for s in slot[at]]
-    return pd.DataFrame({"digest": batch["digest"].to_numpy(), "old_winner": winner, "old_n": n, "member": member, "winner": batch["winner"].astype("Int64"), "n": batch["n"].astype("int64")})
+        for i in np.flatnonzero(member):
+            winner[i] = row["winners"][slot[i]]
+        n[member] = np.asarray(row["counts"], np.int64)[slot[member]]
+
+    def typed(values) -> pd.Series:
+        values = _plain(pd.Series(values))
+        return pd.Series(values, dtype="Int64") if any(isinstance(x, int) for x in values) else pd.Series(values, dtype=object)
+
+    return pd.DataFrame({"digest": batch["digest"].to_numpy(), "old_winner": typed(winner), "old_n": n, "member": member, "winner": typed(batch["winner"]), "n": batch["n"].astype("int64").to_numpy()})
 
 
 def resolve(history: DataFrame, batch: DataFrame) -> DataFrame:
@@ -146,10 +159,9 @@ def resolve(history: DataFrame, batch: DataFrame) -> DataFrame:
     shards = shards_for(old.count(), new.count())
     index = stored(build_index(old, shards), "index")
     new = new.withColumn("shard", shard_of(F.col("digest"), shards))
-    found = stored(
-        index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_look_up, "digest binary, old_winner bigint, old_n bigint, member boolean, winner bigint, n bigint"),
-        "lookups",
-    )
+    id_type = new.schema["winner"].dataType.simpleString()
+    looked_up = f"digest binary, old_winner {id_type}, old_n bigint, member boolean, winner {id_type}, n bigint"
+    found = stored(index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_look_up, looked_up), "lookups")
     seen = found.select("digest", F.least("old_winner", "winner").alias("keep_id"), (F.col("old_n") + F.col("n")).alias("group_size"))
     only_old = old.join(found.where("member").select("digest"), "digest", "left_anti").select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
     return seen.unionByName(only_old)
@@ -158,23 +170,31 @@ def resolve(history: DataFrame, batch: DataFrame) -> DataFrame:
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, digest, keep_id, group_size, kept.
 
-    The rows with keys up to the middle of the key range are the history, the others the new batch;
-    the result is the same for any split.
+    The rows with whole-number keys up to the middle of the key range are the history, the others the new batch;
+    other keys are halved by hash. The result is the same for any split.
     """
     digests = stored(df.select(df[key].alias("id"), text_digest(df[text]).alias("digest")), "digests")
-    low, high = digests.agg(F.min("id"), F.max("id")).first()
-    middle = low + (high - low) // 2 if low is not None else 0
-    past = F.coalesce(F.col("id") <= middle, F.lit(False))
+    if isinstance(digests.schema["id"].dataType, IntegralType):
+        low, high = digests.agg(F.min("id"), F.max("id")).first()
+        past = F.coalesce(F.col("id") <= (low + (high - low) // 2 if low is not None else 0), F.lit(False))
+    else:
+        past = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
     winners = stored(resolve(digests.where(past), digests.where(~past)), "winners")
     return digests.join(winners, "digest").withColumn("kept", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)))
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` that stay, with all their columns: those with the smallest key of their digest, and one row of each digest without keys."""
-    gone = stored(exact_groups(df, key, text).where(~F.col("kept")).select("id", "digest", "keep_id"), "gone")
-    out = df.join(gone, (df[key].eqNullSafe(gone["id"])) & (text_digest(df[text]) == gone["digest"]), "left_anti").select(*df.columns)
+    """One row of each text, with all its columns: one with the smallest key of its digest."""
+    rows = exact_groups(df, key, text).groupBy("id", "digest").agg(F.count(F.lit(1)).alias("many"), F.first("keep_id").alias("keep_id"))
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    rows = stored(rows.where(~stays | (F.col("many") > 1)).select("id", "digest", stays.alias("stays")), "rows")
+    keys = {"id": df[key], "digest": text_digest(df[text])}
+    out, several = without(df, rows.select("id", "digest"), keys), rows.where("stays")
+    if several.isEmpty():
+        return out
     # equal digests may differ in white space and other columns, so the row that stays is chosen by all of them
     row = F.struct(*(df[c] for c in df.columns))
-    loose = df.where(df[key].isNull()).select(row.alias("row"), text_digest(df[text]).alias("digest"), F.sha2(F.to_json(row), 256).alias("rank"))
-    loose = loose.join(gone.where(F.col("keep_id").isNull()).select("digest").distinct(), "digest", "left_semi")
+    loose = df.select(row.alias("row"), keys["id"].alias("id"), keys["digest"].alias("digest"), F.sha2(F.to_json(row), 256).alias("rank"))
+    same = [loose[c].eqNullSafe(several[c]) for c in ("id", "digest")]
+    loose = loose.join(several, same, "left_semi")
     return out.unionByName(loose.groupBy("digest").agg(F.min_by("row", "rank").alias("row")).select("row.*"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,10 @@ from sentencepiece import sentencepiece_model_pb2
 MODEL = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Words that a task remembers at once; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Rows and characters that are encoded at once, so that a batch of long texts is never held with all its ids and spans.
+SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
+OUTPUTS = {"ids": "array<int>", "decoded": "string", "starts": "array<bigint>", "ends": "array<bigint>"}
 
 
 class CharacterMap:
@@ -161,15 +164,28 @@ def load(path: str) -> Pieces:
 ENCODED = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered_bytes bigint"
 
 
-def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: bool = True, model: str | None = None, carry: str | None = None) -> DataFrame:
-    """Key, n_tokens, ids_sha256, decoded_sha256, covered_bytes (source bytes that the spans cover); with
-    ``outputs`` also ids, starts, ends (byte spans) and decoded text; then the column ``carry`` as it is."""
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each batch a few at a time; a text over SLICE_CHARS comes alone or last."""
+    for pdf in batches:
+        begin, size = 0, 0
+        for i, text in enumerate(pdf["text"]):
+            size += len(text or "")
+            if i + 1 - begin == SLICE_ROWS or size >= SLICE_CHARS:
+                yield pdf.iloc[begin : i + 1]
+                begin, size = i + 1, 0
+        if begin < len(pdf):
+            yield pdf.iloc[begin:]
+
+
+def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: Collection[str] = tuple(OUTPUTS), model: str | None = None, carry: str | None = None) -> DataFrame:
+    """Key, n_tokens, ids_sha256, decoded_sha256, covered_bytes (source bytes that the spans cover); of ids, decoded text,
+    starts and ends (byte spans) those that ``outputs`` names; then the column ``carry`` as it is."""
     key_type = df.schema[key].dataType.simpleString()
-    path = model
+    path, wanted = model, [c for c in OUTPUTS if c in outputs]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = load(path or public_tokenizers.path(MODEL))
-        for pdf in batches:
+        for pdf in _slices(batches):
             texts = [t or "" for t in pdf["text"]]
             ids, back = pieces.encode(texts)
             spans = [pieces.spans(t, i) for t, i in zip(texts, ids)]
@@ -177,14 +193,14 @@ def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: boo
                 key: pdf["key"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
                 "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back], "covered_bytes": [int((b - a).sum()) for a, b in spans],
             })
-            if outputs:
-                out["ids"], out["decoded"] = [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], back
-                out["starts"], out["ends"] = [a for a, _ in spans], [b for _, b in spans]
+            made = {"ids": lambda: [np.frombuffer(i, "<u4").astype(np.int32) for i in ids], "decoded": lambda: back, "starts": lambda: [a for a, _ in spans], "ends": lambda: [b for _, b in spans]}
+            for c in wanted:
+                out[c] = made[c]()
             if carry:
                 out[carry] = pdf["carry"]
             yield out
 
-    more = ", ids array<int>, decoded string, starts array<bigint>, ends array<bigint>" if outputs else ""
+    more = "".join(f", {c} {OUTPUTS[c]}" for c in wanted)
     if carry:
         more += f", `{carry}` {df.schema[carry].dataType.simpleString()}"
     carried = [df[carry].alias("carry")] if carry else []

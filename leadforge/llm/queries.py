@@ -47,7 +47,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), outputs=False)
+    return encoded(table(spark, sf_dir, "documents"), outputs=())
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

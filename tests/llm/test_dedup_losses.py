@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from leadforge.llm import exact, ngrams
 
 SCHEMA = "doc_id bigint, text string, source string, digest string"
@@ -27,3 +29,16 @@ def test_a_text_that_repeats_a_dropped_id_stays(spark):
     rows = [(1, base, "a", "x"), (2, near, "a", "x"), (2, other, "b", "x"), (None, text(3), "a", "x")]
     got = {x["text"] for x in ngrams.drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {base, other, text(3)}
+
+
+@pytest.mark.parametrize("key", [lambda i: i, lambda i: None if i is None else f"k{i:03d}"])
+def test_repeated_rows_outlying_and_odd_keys(spark, key):
+    rows = [(key(-(2**40)), "far", "a", "x"), *[(key(i), f"text {i % 7}", "a", "x") for i in range(20)], *[(key(3), "text 3", "a", "x")] * 3, (None, "text 4", "b", "x"), (None, "lone", "b", "x"), (None, "lone", "b", "x")]
+    schema = SCHEMA if isinstance(key(1), int) else SCHEMA.replace("doc_id bigint", "doc_id string")
+    df = spark.createDataFrame(rows, schema)
+    got = exact.drop_copies(df).collect()
+    assert sorted(x["text"] for x in got) == sorted({r[1] for r in rows})
+    low = {r[1]: min((s[0] for s in rows if s[1] == r[1] and s[0] is not None), default=None) for r in rows}
+    assert {x["text"]: x["doc_id"] for x in got} == low
+    groups = exact.exact_groups(df).collect()
+    assert len(groups) == len(rows) and sum(x["group_size"] == 1 for x in groups) == 1

@@ -67,7 +67,8 @@ def test_exact_groups(docs, rows, nothing):
     out = exact.drop_copies(docs)
     assert out.columns == docs.columns
     ids = [x[0] for x in out.select("doc_id").collect()]
-    assert 1 in ids and 2 not in ids and ids.count(13) == 2 and 6 not in ids and 5 in ids
+    assert 1 in ids and 2 not in ids and ids.count(13) == 1 and 6 not in ids and 5 in ids
+    assert len(ids) == len(groups)
 
 
 @pytest.mark.parametrize("n", [1, 2, 100, 5000])
@@ -231,7 +232,8 @@ def test_pieces_match_the_library(docs, rows, nothing):
         assert x["covered_bytes"] == len((t or "").encode())
         if t:
             spans = [(t.encode()[a:b].decode("utf-8", "ignore"), model.library.id_to_piece(k)) for a, b, k in zip(x["starts"], x["ends"], ids)]
-            assert all(piece.replace("▁", " ").strip() == text.strip() for text, piece in spans if not piece.startswith("<"))
+            # a literal U+2581 of the text is the same to the model as a space
+            assert all(piece.replace("▁", " ").strip() == text.replace("▁", " ").strip() for text, piece in spans if not piece.startswith("<"))
     assert pieces.encoded(nothing).count() == 0
 
 

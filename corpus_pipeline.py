@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every reading, and its place in training order."""
-    out = encoded(placed(docs), carry="mix_place").withColumnRenamed("mix_place", "place")
+    out = encoded(placed(docs), outputs=("ids",), carry="mix_place").withColumnRenamed("mix_place", "place")
     return out.select("doc_id", "place", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 

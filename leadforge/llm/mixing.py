@@ -9,12 +9,15 @@ the target demanded by time t, so inverting it gives every document its training
 which documents are range-sorted. A table that is read again comes in any order of its files, so
 the last stage of the pipeline takes every reading's place from the stored mix.
 
+What the mix takes from a document is what its readings take; a reading that the target cuts to less than half of
+the document has words but no position of its own, since whole documents are read.
+
 Running sums are taken in two levels, over buckets of the order key and within a bucket, so that a
 source with a third of all rows is spread over 4,096 tasks' worth of rows. One row per source passes a single-task window.
 
 Defined cases: null texts have no words and are never taken; a null source is a source of its own
 and sorts last; ties in the order key are broken by size; if no text has words all targets are 0;
-empty tables give empty results. New columns start with ``mix_``.
+empty tables give empty results. New columns start with ``mix_``; a table that has one of their names is refused.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 #: Schedule (begin, end) of the sources of each weight: heavy sources early, light ones late.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 BUCKET_DIGITS = 3
+#: Columns that are made, for a while or to stay.
+MADE = frozenset(f"mix_{x}" for x in "source size order bucket s b before source_size target weight_no within start taken positions reading position place".split())
 
 
 def order_key(key: Column) -> Column:
@@ -54,7 +59,10 @@ def source_targets(sizes: DataFrame, share_percent: int = 150, limit: int = 2, w
 
 
 def assign(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share_percent: int = 150, limit: int = 2) -> DataFrame:
-    """``df`` with mix_size, mix_source_size, mix_target, mix_start (words before it in its source's stream), mix_taken, mix_weight_no."""
+    """``df`` with mix_size, mix_source_size, mix_target, mix_start (words before it in its source's stream), mix_weight_no,
+    mix_positions (of its first and second reading, null for one that does not count) and mix_taken (words of both)."""
+    if clash := sorted(c for c in df.columns if c.lower() in MADE):
+        raise ValueError(f"the table has columns that mixing makes: {', '.join(clash)}")
     sized = df.withColumns({"mix_source": df[source], "mix_size": n_words(df[text]), "mix_order": order_key(df[key])})
     sized = sized.withColumn("mix_bucket", F.substring("mix_order", 1, BUCKET_DIGITS))
     buckets = stored(sized.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_size")), "buckets")
@@ -66,7 +74,9 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     out = sized.withColumn("mix_within", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
     out = out.join(offsets, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
     out = out.withColumn("mix_start", F.col("mix_before") + F.col("mix_within"))
-    return out.withColumn("mix_taken", taken(0) + taken(1)).drop("mix_s", "mix_b", "mix_before", "mix_within", "mix_order", "mix_bucket", "mix_source")
+    counts = [F.when((taken(k) > 0) & (2 * taken(k) >= F.col("mix_size")), position(F.lit(k))) for k in (0, 1)]
+    out = out.withColumns({"mix_positions": F.array(*counts), "mix_taken": taken(0) + taken(1)})
+    return out.drop("mix_s", "mix_b", "mix_before", "mix_within", "mix_order", "mix_bucket", "mix_source")
 
 
 def taken(repeat: int) -> Column:
@@ -90,10 +100,15 @@ def readings(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     A reading counts when at least half of its words lie below the target. Equal positions are ordered by the key's order and the reading.
     """
-    counted = F.filter(F.array(*(F.when((taken(k) > 0) & (2 * taken(k) >= F.col("mix_size")), F.lit(k)) for k in (0, 1))), lambda x: x.isNotNull())
-    out = assign(df, key, text, source).withColumn("mix_reading", F.explode(counted)).withColumn("mix_position", position(F.col("mix_reading")))
-    order = ["mix_position", "mix_order", "mix_reading"]
-    return out.withColumn("mix_order", order_key(F.col(key))).repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_order")
+    out = assign(df, key, text, source)
+    out = out.select("*", F.posexplode("mix_positions").alias("mix_reading", "mix_position")).where(F.col("mix_position").isNotNull())
+    return in_order(out, key, ["mix_position"], ["mix_reading"])
+
+
+def in_order(df: DataFrame, key: str, first: list, last: list) -> DataFrame:
+    """``df`` range-sorted by ``first``, then the key's order, then ``last``."""
+    order = [*first, "mix_order", *last]
+    return df.withColumn("mix_order", order_key(df[key])).repartitionByRange(*order).sortWithinPartitions(*order).drop("mix_order")
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -2,9 +2,10 @@
 
 A page is read once as a stream of tags and text. Elements that name themselves as menus, headers,
 footers, sidebars, notices, adverts, forms or comments (by tag, role, class or id) are left out. If
-the page has articles (or else a main element), their blocks are the text.
+the page has articles or a main element, the blocks in them are the text, unless the unnamed blocks beside them
+hold more than BESIDE times as many characters: then the article is a teaser and all blocks are the page's.
 
-Pages without either have only unnamed blocks. The token streams of the unnamed blocks of every page
+The other pages have only unnamed blocks. The token streams of the unnamed blocks of every page
 are concatenated by host and the suffixes of those streams sorted; substrings of at least LONG tokens
 that occur on SHARE percent of the host's distinct pages with such blocks, and on SUPPORT at least, are
 boilerplate. Where a page has no other blocks their tokens are removed, and the unique runs
@@ -23,6 +24,7 @@ give empty results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from leadforge.llm.common import stored
 
 LONG, SUPPORT, SHARE = 8, 3, 20
+BESIDE = 3
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,12 +45,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg canvas audio video button select option textarea dialog head title menu map".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of a class or id that name boilerplate.
+#: Words that name boilerplate wherever they stand in a class or id.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav widget widgets menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended pagination pager toolbar login search".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comments commentlist disqus respond pagination pager".split()
 )
+#: Words that name boilerplate only where all other words of the class or id are FILLING: a share button, but no share price.
+WEAK_WORDS = frozenset("promotion banner notice notices notification alert subscription signup widget widgets comment reply replies share sharing social related recommended toolbar login search".split())
+FILLING = frozenset("bar box block button buttons btn container content count site page post posts area section list item items link links icon icons left right top bottom main article this tools panel inner outer wrap wrapper form header title more module group".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 SIDE_PHRASES = re.compile(r"side[-_]?bar|side[-_]?nav|site[-_]?header|page[-_]?header|paywall", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -55,15 +60,16 @@ NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Reader(HTMLParser):
-    """Blocks of a page as (kind, text); kind 2 in an article, 1 in a main element, 0 elsewhere."""
+    """Blocks of a page as (whether in an article or main element, text)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, outside, header within an article
+        self.of_tag: Counter[str] = Counter()
         self.count = {"article": 0, "main": 0, "outside": 0, "byline": 0}
         self.heading = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[int, str]] = []
+        self.blocks: list[tuple[bool, str]] = []
 
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in OUTSIDE or (tag == "header" and not self.count["article"] and not self.count["main"]):
@@ -74,16 +80,18 @@ class _Reader(HTMLParser):
         if "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or NO_DISPLAY.search(a.get("style") or ""):
             return True
         named = f"{a.get('class') or ''} {a.get('id') or ''}"
-        words = {w.lower() for w in WORDS.findall(named)}
+        names = [{w.lower() for w in WORDS.findall(name)} for name in named.split()]
         if tag in ("article", "main"):
-            return bool(words & COMMENT_WORDS)
-        return (a.get("role") or "").lower() in OUTSIDE_ROLES or bool(words & OUTSIDE_WORDS) or bool(SIDE_PHRASES.search(named))
+            return any(words & COMMENT_WORDS for words in names)
+        if (a.get("role") or "").lower() in OUTSIDE_ROLES or SIDE_PHRASES.search(named):
+            return True
+        return any(words & OUTSIDE_WORDS or (words & WEAK_WORDS and words <= WEAK_WORDS | FILLING) for words in names)
 
     def _close_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((2 if self.count["article"] else 1 if self.count["main"] else 0, text))
+                self.blocks.append((bool(self.count["article"] or self.count["main"]), text))
             self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -101,14 +109,16 @@ class _Reader(HTMLParser):
         if tag in ("article", "main"):
             self.count[tag] += 1
         self.open.append((tag, outside, byline))
+        self.of_tag[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._close_block()
-        if not any(t == tag for t, _, _ in reversed(self.open)):
+        if not self.of_tag[tag]:
             return
         while True:
             t, outside, byline = self.open.pop()
+            self.of_tag[t] -= 1
             self.count["outside"] -= outside
             self.count["byline"] -= byline
             self.heading -= t in HEADINGS
@@ -123,17 +133,19 @@ class _Reader(HTMLParser):
 
 
 def split_blocks(html: str | None) -> tuple[bool, list[str], list[str]]:
-    """Whether markup names the main text, the blocks of it (or all unnamed blocks), and the unnamed blocks."""
+    """Whether markup names the main text, the blocks of it (or all blocks), and the blocks that markup does not decide on."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
     reader._close_block()
-    kind = max((k for k, _ in reader.blocks), default=0)
-    return kind > 0, [t for k, t in reader.blocks if k == kind], [t for k, t in reader.blocks if k == 0]
+    inside, beside = [t for k, t in reader.blocks if k], [t for k, t in reader.blocks if not k]
+    if inside and BESIDE * sum(map(len, inside)) >= sum(map(len, beside)):
+        return True, inside, beside
+    return False, [t for _, t in reader.blocks], [t for _, t in reader.blocks]
 
 
 def blocks_of(html: str | None) -> tuple[bool, list[str]]:
-    """Whether markup names the main text, and the blocks of it (or all unnamed blocks)."""
+    """Whether markup names the main text, and the blocks of it (or all blocks)."""
     return split_blocks(html)[:2]
 
 

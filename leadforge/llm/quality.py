@@ -3,7 +3,11 @@
 Every rule's cost and selectivity are estimated on a sample; rules then run in falling order of
 rejections per second, and a row that one rule rejects is not shown to the next (``CASE WHEN``
 evaluates its branches in order and stops at the first hit). The order changes only how much is
-computed, never which rows stay, so reruns agree although costs are measured.
+computed, never which rows stay, so reruns agree although costs are measured. The sample is of a few input
+files where the table is read from many; cost is the time of a repeated run over the stored sample, less that of a run without rules.
+
+The counts of the contract are needed for every row, so the verdict query computes them first and the
+cascade's lazy features (letters, bullets, ellipses) only for rows that nothing before them has rejected.
 
 Defined cases: a null or empty text has no words and fails ``few_words``; repeated rows are judged
 alike; an empty table gives an empty result; columns of the input are kept untouched, whatever
@@ -16,12 +20,17 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadforge.llm.common import SPACE, let, n_words, stored, words
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Words with a letter (from it to the word's end), lines that begin with a bullet, lines that end in an ellipsis.
+LETTERS, BULLETS, ELLIPSES = r"\p{L}[^\x20\x09-\x0D]*", r"(^|\n)[\x20\x09]*[-*•]", r"(\.\.\.|…)[\x20\x09\x0D]*(\n|\z)"
+#: Input files that a sample is taken from, at most.
+SAMPLE_FILES = 8
 #: A packed long holds 33 bits of a window's hash over 31 bits of its position.
 POSITION_BITS = 31
 
@@ -67,9 +76,16 @@ def features(text: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_window_words(text),
+        **lazy_features(text),
     }
 
 
+def lazy_features(text: Column) -> dict[str, Column]:
+    """Features that only the cascade needs."""
+    t = F.coalesce(text, F.lit(""))
+    return {name: F.regexp_count(t, F.lit(pattern)).cast("long") for name, pattern in (("n_letter_words", LETTERS), ("n_bullets", BULLETS), ("n_ellipses", ELLIPSES))}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -83,22 +99,46 @@ RULES = (
     Rule("word_length", lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
     Rule("symbols", lambda f: 2 * f["n_symbols"] > f["n_words"]),
     Rule("duplicate_lines", lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
+    Rule("few_letters", lambda f: 2 * f["n_letter_words"] < f["n_words"]),
+    Rule("bullet_lines", lambda f: 10 * f["n_bullets"] > 9 * f["n_lines"]),
+    Rule("ellipsis_lines", lambda f: 2 * f["n_ellipses"] > f["n_lines"]),
 )
 BASE_RULES = RULES[:2]
 VERDICT = "__leadforge_verdict"
 
 
+def sample_of(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """About ``rows`` texts (column t), stored in four files; of SAMPLE_FILES input files if the table is read from more."""
+    files = sorted(df.inputFiles())
+    some = df
+    if len(files) > SAMPLE_FILES:
+        picked = [f.rpartition("/")[2] for f in files[:: -(-len(files) // SAMPLE_FILES)]]
+        try:
+            part = df.where(F.col("_metadata.file_name").isin(picked))
+            some = df if part.select(F.lit(1)).isEmpty() else part
+        except AnalysisException:  # not a plain table: it has no file paths
+            pass
+    some = some.select(some[text].alias("t"))
+    total = some.count()
+    return stored(some.sample(fraction=min(1.0, rows / total) if total else 1.0, seed=7).repartition(4), "sample")
+
+
+def _timed(sample: DataFrame, rules: list[Rule]) -> tuple[int, int, float]:
+    """Rejections, rows and seconds of a run over the sample; the first run, which compiles, is not timed."""
+    judged = first_rejection(sample, F.col("t"), rules).agg(F.count(VERDICT), F.count(F.lit(1)))
+    judged.collect()
+    began = time.perf_counter()
+    hit, n = judged.first()
+    return hit, n, time.perf_counter() - began
+
+
 def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Rule]:
     """Rules by rejections per second, as measured on about ``sample_rows`` rows."""
-    total = df.count()
-    share = min(1.0, sample_rows / total) if total else 1.0
-    sample = stored(df.select(df[text].alias("t")).sample(fraction=share, seed=7), "sample").coalesce(4)
-    rated = []
+    sample = sample_of(df, text, sample_rows)
+    idle, rated = _timed(sample, [])[2], []
     for i, rule in enumerate(rules):
-        began = time.perf_counter()
-        hit, n = first_rejection(sample, F.col("t"), [rule]).agg(F.count(VERDICT), F.count(F.lit(1))).first()
-        cost = time.perf_counter() - began
-        rated.append((-hit / max(n, 1) / cost, i, rule))
+        hit, n, seconds = _timed(sample, [rule])
+        rated.append((-hit / max(n, 1) / max(seconds - idle, 1e-4), i, rule))
     return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
 
 
@@ -119,12 +159,16 @@ def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     return first_rejection(df, df[text], ordered).where(F.col(VERDICT).isNull()).drop(VERDICT)
 
 
+#: Columns of :func:`quality_verdicts` between key and verdicts.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def quality_verdicts(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
     """Counts and verdict of each row: key, the counts, ``base_failed``, ``kept``."""
     ordered = cascade_order(df, text, tuple(r for r in RULES if r not in BASE_RULES), sample_rows)
     f = features(F.col("t"))
-    counted = df.select(df[key].alias(key), df[text].alias("t")).select(F.col(key), *(c.alias(n) for n, c in f.items()))
-    f = {n: F.col(n) for n in f}
-    base = BASE_RULES[0].rejects(f) | BASE_RULES[1].rejects(f)
-    judged = first_rejection(counted.withColumn("base_failed", base), F.lit(None), ordered, known=f)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col(VERDICT).isNull()).drop(VERDICT)
+    counted = df.select(df[key].alias(key), df[text].alias("t")).select(F.col(key), "t", *(f[n].alias(n) for n in COUNTS))
+    known = {n: F.col(n) for n in COUNTS} | lazy_features(F.col("t"))
+    judged = first_rejection(counted, F.col("t"), [*BASE_RULES, *ordered], known=known)
+    base = F.coalesce(F.col(VERDICT).isin([r.name for r in BASE_RULES]), F.lit(False))
+    return judged.select(key, *COUNTS, base.alias("base_failed"), F.col(VERDICT).isNull().alias("kept"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leadforge.llm.chat import formatted
 from leadforge.llm.common import table
 from leadforge.llm.exact import exact_groups
-from leadforge.llm.mixing import assign, readings
+from leadforge.llm.mixing import assign, in_order, readings
 from leadforge.llm.ngrams import similar_groups
 from leadforge.llm.pages import main_text
 from leadforge.llm.pieces import encoded
@@ -26,8 +26,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, range-sorted by the training position of its first reading; positions are in billionths of the training time."""
     out = assign(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    positions = [F.floor(1e9 * F.get("mix_positions", F.lit(k))).alias(name) for k, name in enumerate(("first_position", "second_position"))]
+    out = out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), *positions)
+    return in_order(out, "doc_id", [F.col("first_position").asc_nulls_last()], ["size"])
 
 
 def op2_mixing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages")).drop("url", "intact")
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,15 +115,24 @@ WITH d AS (
 ), level AS (
   SELECT open, rest FROM r WHERE open * weight / rest <= 2 * source_size ORDER BY i LIMIT 1
 ), t AS (
-  SELECT source, source_size, coalesce(least(2 * source_size::DOUBLE, (SELECT open FROM level) * weight / (SELECT rest FROM level)), 2 * source_size::DOUBLE) AS target FROM r
+  SELECT source, source_size, weight, coalesce(least(2 * source_size::DOUBLE, (SELECT open FROM level) * weight / (SELECT rest FROM level)), 2 * source_size::DOUBLE) AS target FROM r
 ), p AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, weight, floor(target + 0.5)::BIGINT AS room,
          (sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, greatest(0, least(room - start, size)) AS taken0, greatest(0, least(room - source_size - start, size)) AS taken1,
+         least(1.0::DOUBLE, (start + size::DOUBLE / 2) / target) AS y0, least(1.0::DOUBLE, (start + size::DOUBLE / 2 + source_size) / target) AS y1
+  FROM p
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(floor(target + 0.5)::BIGINT - start, size)) + greatest(0, least(floor(target + 0.5)::BIGINT - source_size - start, size)))::BIGINT AS taken
-FROM p""",
+SELECT doc_id, size, source_size, target, (taken0 + taken1)::BIGINT AS taken,
+       CASE WHEN taken0 > 0 AND 2 * taken0 >= size THEN floor(1e9::DOUBLE * CASE weight
+         WHEN 5 THEN (sqrt(2.25::DOUBLE - 2.0::DOUBLE * y0) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 2 THEN y0
+         ELSE (sqrt(0.25::DOUBLE + 2.0::DOUBLE * y0) - 0.5::DOUBLE) / 1.0::DOUBLE END)::BIGINT END AS first_position,
+       CASE WHEN taken1 > 0 AND 2 * taken1 >= size THEN floor(1e9::DOUBLE * CASE weight
+         WHEN 5 THEN (sqrt(2.25::DOUBLE - 2.0::DOUBLE * y1) - 1.5::DOUBLE) / -1.0::DOUBLE WHEN 2 THEN y1
+         ELSE (sqrt(0.25::DOUBLE + 2.0::DOUBLE * y1) - 0.5::DOUBLE) / 1.0::DOUBLE END)::BIGINT END AS second_position
+FROM k""",
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
@@ -142,11 +154,15 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines) AS n_lines,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) AS n_letter_words,
+         len(regexp_extract_all(t, '(^|\n)[\x20\x09]*[-*•]')) AS n_bullets,
+         len(regexp_extract_all(t, '(\.\.\.|…)[\x20\x09\x0D]*(\n|\z)')) AS n_ellipses
   FROM d LEFT JOIN rep USING (doc_id)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words)
-       AND NOT 2 * n_symbols > n_words AND NOT 2 * n_dup_lines > n_lines AS kept
+       AND NOT 2 * n_symbols > n_words AND NOT 2 * n_dup_lines > n_lines
+       AND NOT 2 * n_letter_words < n_words AND NOT 10 * n_bullets > 9 * n_lines AND NOT 2 * n_ellipses > n_lines AS kept
 FROM b""",
 }

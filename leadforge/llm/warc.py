@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadforge.llm.common import shared_dir, stored
+from leadforge.llm.common import BROADCAST_KEYS, shared_dir, stored
 
 BLOCK = 1 << 20
 #: Compressed bytes after which a new range begins in the manifest.
@@ -100,7 +100,10 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
     """Writes the archives to ``folder`` and returns their manifest."""
     rows = df.select(df[key].cast("bigint").alias("id"), F.coalesce(df[url], F.lit("")).alias("url"), F.coalesce(df[payload], F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha1(F.col("payload").cast("binary"))})
-    newest = stored(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("newest")), "newest")
+    # only payloads that repeat have anything to learn from the join, and up to a counted size their digests are broadcast: no payload is shuffled
+    repeated = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("newest"), F.count(F.lit(1)).alias("many"))
+    newest = stored(repeated.where("many > 1").select("digest", "newest"), "newest")
+    newest = F.broadcast(newest) if newest.count() <= BROADCAST_KEYS else newest
     typed = rows.join(newest, "digest", "left").withColumn("refers_to", F.when(F.coalesce(F.col("id") != F.col("newest"), F.col("newest").isNotNull() & F.col("id").isNull()), F.col("newest")))
     typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     return stored(typed.mapInPandas(_writer(folder, date), MANIFEST), "manifest")

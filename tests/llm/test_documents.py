@@ -326,3 +326,29 @@ def test_toxicity_on_held_out_rows(spark, nothing):
     assert out[5000]["score"] == out[5001]["score"]
     assert [x["score"] for x in toxicity.toxicity(docs.limit(3), known.where("toxic = 7")).collect()] == [0.0] * 3
     assert toxicity.toxicity(nothing, known).count() == 0
+
+
+def test_a_rejected_row_sees_no_later_rule(spark):
+    short = quality.Rule("short", lambda f: f["n_words"] < 5)
+    trap = quality.Rule("trap", lambda f: F.when(f["n_letter_words"] >= 0, F.raise_error(F.lit("evaluated"))).cast("boolean"))
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    judged = quality.first_rejection(df, F.col("text"), [short, trap])
+    assert [x[quality.VERDICT] for x in judged.collect()] == ["short", "short"]
+    with pytest.raises(Exception, match="evaluated"):
+        quality.first_rejection(df, F.col("text"), [trap, short]).collect()
+
+
+@pytest.mark.parametrize("text,rule", [
+    ("12 34 56 ab " * 20 + "1 " * 60, "few_letters"), ("- a b\n" * 30, "bullet_lines"), ("so it goes...\n" * 3 + "and on … \nthen this\n", "ellipsis_lines"), ("plain words here\n" * 30, None),
+])
+def test_rules_with_features_of_their_own(spark, text, rule):
+    rules = [r for r in quality.RULES if r.name in ("few_letters", "bullet_lines", "ellipsis_lines")]
+    for ordered in (rules, rules[::-1]):
+        assert quality.first_rejection(spark.createDataFrame([(text,)], "text string"), F.col("text"), ordered).first()[quality.VERDICT] == rule
+
+
+def test_a_sample_takes_some_files(spark, tmp_path):
+    spark.range(200).selectExpr("id doc_id", "concat('word ', id) text").repartition(20).write.parquet(str(tmp_path / "many"))
+    sample = quality.sample_of(spark.read.parquet(str(tmp_path / "many")), "text", 10_000)
+    assert 20 < sample.count() < 120
+    assert quality.sample_of(spark.read.parquet(str(tmp_path / "many")).where("doc_id < 0"), "text", 10).count() == 0

@@ -73,3 +73,32 @@ def test_place_survives_the_reread(spark, docs, reread):
             places.append((x["doc_id"], reading))
     want = mixing.readings(docs).where("doc_id is distinct from 13").select("doc_id", "mix_reading").collect()
     assert places == [tuple(x) for x in want] and len(places) > 30
+
+
+def test_the_query_takes_its_words_and_positions_from_the_readings(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["op2_mixing"](spark, str(tmp_path)).collect()
+    firsts = [x["first_position"] for x in rows]
+    known = [x for x in firsts if x is not None]
+    assert known == sorted(known) and firsts[: len(known)] == known
+    order = {(x["doc_id"], x["reading"]): int(x["position"] * 1e9) for x in queries.QUERIES["op2_mixing_order"](spark, str(tmp_path)).collect()}
+    for x in rows:
+        for k, name in enumerate(("first_position", "second_position")):
+            assert x["doc_id"] == 13 or x[name] == order.get((x["doc_id"], k))
+        assert x["taken"] > 0 or x["first_position"] is None
+
+
+def test_a_table_with_a_made_name_is_refused(docs):
+    with pytest.raises(ValueError, match="mix_target"):
+        mixing.assign(docs.withColumnRenamed("digest", "mix_target"))
+
+
+def test_shares_follow_the_schedules(spark):
+    """By training time t a source has given about the share of its target that its integrated schedule asks for."""
+    rows = [(i, " ".join(["w"] * 10), "abc"[i % 3]) for i in range(1500)]
+    got = mixing.readings(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for name, (begin, end) in zip("abc", mixing.SCHEDULES):
+        own = [x for x in got if x["source"] == name]
+        for t in (0.1, 0.35, 0.5, 0.8):
+            words = sum(x["mix_size"] for x in own if x["mix_position"] <= t)
+            assert words / own[0]["mix_target"] == pytest.approx(begin * t + (end - begin) * t * t / 2, abs=0.01)

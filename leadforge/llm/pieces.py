@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
+from leadforge.llm.common import small_batches
+
 MODEL = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 #: Words that a task remembers at once; then it starts anew.
@@ -180,6 +182,7 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def encoded(df: DataFrame, key: str = "doc_id", text: str = "text", outputs: Collection[str] = tuple(OUTPUTS), model: str | None = None, carry: str | None = None) -> DataFrame:
     """Key, n_tokens, ids_sha256, decoded_sha256, covered_bytes (source bytes that the spans cover); of ids, decoded text,
     starts and ends (byte spans) those that ``outputs`` names; then the column ``carry`` as it is."""
+    small_batches(df.sparkSession)
     key_type = df.schema[key].dataType.simpleString()
     path, wanted = model, [c for c in OUTPUTS if c in outputs]
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadforge.functions.numbers import percent
+from leadforge.functions.strings import email_key, phone_key
 
 TIERS = ("A", "B", "C", "X")
 
@@ -29,10 +30,19 @@ def drift(machine: Column, human: Column) -> Column:
     return F.when(d > 0, "up").when(d < 0, "down").otherwise("same")
 
 
+def contact_key(kind: Column, value: Column) -> Column:
+    """Form in which contacts of different sites are compared."""
+    return F.when(kind == "phone", phone_key(value)).when(kind == "email", email_key(value)).otherwise(value)
+
+
 def contact_owner(contacts: DataFrame) -> DataFrame:
-    """``contacts`` (domain, kind, value, key, credit) with owner: shared keys and values within a credit text are the agency's."""
+    """``contacts`` (domain, kind, value, key, credit) with owner: shared keys and values within a credit text are the agency's.
+
+    A provider's number (owner ``places`` already) keeps its owner, but counts as shown by its site.
+    """
     shared = contacts.where(F.col("key") != "").groupBy("kind", "key").agg(F.count_distinct("domain").alias("domains"))
-    owner = F.when(F.coalesce(F.col("domains") > 1, F.lit(False)), "agency").when(F.coalesce(F.contains(F.col("credit"), F.col("value")), F.lit(False)), "agency").otherwise("business")
+    owner = F.when(F.col("owner") == "places", F.col("owner")) if "owner" in contacts.columns else F
+    owner = owner.when(F.coalesce(F.col("domains") > 1, F.lit(False)), "agency").when(F.coalesce(F.contains(F.col("credit"), F.col("value")), F.lit(False)), "agency").otherwise("business")
     return contacts.join(shared, ["kind", "key"], "left").withColumn("owner", owner).drop("domains")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 YEAR = 2026
+TABLES = ("customer", "orders", "labels", "lineitem", "supplier", "part", "events", "pages", "documents")
 
 LEADS = """
 SELECT c.c_custkey AS k, c.c_name AS name, c.c_mktsegment AS vertical,
@@ -52,13 +53,13 @@ SELECT doc_id AS k, CASE quality * 2 + toxic WHEN 0 THEN 'C' WHEN 1 THEN 'X' WHE
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = [n for n in ("customer", "orders", "labels", "lineitem", "supplier", "events", "pages", "documents") if "{" + n + "}" in sql]
+    names = [n for n in TABLES if "{" + n + "}" in sql]
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def duck(sql: str) -> str:
     """The same text for DuckDB."""
-    for n in ("customer", "orders", "labels", "lineitem", "supplier", "events", "pages", "documents"):
+    for n in TABLES:
         sql = sql.replace("{" + n + "}", n)
     return sql
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +18,26 @@ def host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, wherever the expression is moved: a one-element transform binds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def of_host(name: Column) -> Column:
+    """Public suffix and one label of a host."""
+
+    def cut(labels: Column) -> Column:
+        n = F.size(labels)
+        last = F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2))
+        width = F.when(last.isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
+        return let(width, lambda k: F.when(n >= k, F.concat_ws(".", F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k))))
+
+    return F.when(~name.rlike(r"^[0-9.]+$"), let(F.split(name, r"\."), cut))
+
+
 def registrable(url: Column) -> Column:
     """Public suffix and one label; null for bad URLs, addresses and single labels."""
-    labels = F.split(host(url), r"\.")
-    n = F.size(labels)
-    last = F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), 2))
-    width = F.when(last.isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
-    out = F.concat_ws(".", F.slice(labels, F.greatest(n - width + 1, F.lit(1)), width))
-    return F.when(host(url).isNotNull() & (n >= width) & ~host(url).rlike(r"^[0-9.]+$"), out)
+    return let(host(url), of_host)
 
 
 def clean_href(url: Column) -> Column:

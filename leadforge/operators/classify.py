@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadforge.functions.urls import host, registrable
+from leadforge.functions.urls import host, let, of_host, registrable
 
 #: Hosts that are no site of a business, and portals whose profiles are not one either.
 REJECTED = (
@@ -29,20 +31,29 @@ FAILURES = (("dns", ("err_name_not_resolved", "enotfound")), ("refused", ("err_c
 RETRYABLE = ("nav-timeout", "crash", "blocked-429", "blocked-403")
 
 
-def _either(url: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(registrable(url).isin(*names) | host(url).isin(*names), F.lit(False))
+def _named(url: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the host and the registrable domain, each taken from the URL once."""
+    return let(host(url), lambda h: let(of_host(h), lambda d: body(h, d)))
+
+
+def _either(h: Column, d: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(d.isin(*names), F.lit(False)) | F.coalesce(h.isin(*names), F.lit(False))
+
+
+def _rejected(h: Column, d: Column) -> Column:
+    return _either(h, d, REJECTED) | F.coalesce(h.rlike(r"^webnode\."), F.lit(False))
 
 
 def is_portal(url: Column) -> Column:
-    return _either(url, PORTALS)
+    return _named(url, lambda h, d: _either(h, d, PORTALS))
 
 
 def is_rejected(url: Column) -> Column:
-    return _either(url, REJECTED) | F.coalesce(host(url).rlike(r"^webnode\."), F.lit(False))
+    return _named(url, _rejected)
 
 
 def skip_reason(url: Column) -> Column:
-    return F.when(is_portal(url), "aggregator-profile-only").when(is_rejected(url) | registrable(url).isNull(), "aggregator-or-social-only")
+    return _named(url, lambda h, d: F.when(_either(h, d, PORTALS), "aggregator-profile-only").when(_rejected(h, d) | d.isNull(), "aggregator-or-social-only"))
 
 
 def is_parked(body: Column, length: Column) -> Column:

@@ -20,19 +20,22 @@ def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 def merge_by_domain(df: DataFrame, exempt: Column, domain: str = "domain", ident: str = "provider_id", arrival: str = "arrival", reviews: str = "review_count") -> DataFrame:
     """One row per domain with ``also_seen_as``; rows where ``exempt`` holds or the domain is null stay as they are."""
-    apart = exempt | F.col(domain).isNull()
-    own = W.partitionBy(domain).orderBy(arrival)
+    apart = F.coalesce(exempt | F.col(domain).isNull(), F.lit(False))
+    forth, back = W.partitionBy(domain).orderBy(arrival), W.partitionBy(domain).orderBy(F.desc(arrival))
     r = F.coalesce(F.col(reviews), F.lit(0))
-    before = F.max(r).over(own.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.where(~F.coalesce(apart, F.lit(False))).withColumn("_lead", before.isNull() | (r > before))
-    later = F.min(F.when(F.col("_lead"), F.col(arrival))).over(own.rowsBetween(1, W.unboundedFollowing))
-    marked = marked.withColumn("_gone", F.when(F.col("_lead"), later).otherwise(F.col(arrival)))
-    fill = W.partitionBy(domain).orderBy(F.when(F.col("_lead"), 0).otherwise(1), F.when(F.col("_lead"), -F.col(arrival)).otherwise(F.col(arrival))).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    for c in ("phone", "address"):
-        if c in df.columns:
-            marked = marked.withColumn(c, F.coalesce(F.first(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(fill), F.col(c)))
-    everyone = W.partitionBy(domain).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = F.collect_list(F.when(F.col("_gone").isNotNull(), F.struct(F.col("_gone").alias("at"), F.col(ident).alias("who")))).over(everyone)
-    merged = marked.withColumn("also_seen_as", F.transform(F.sort_array(seen), lambda x: x["who"])).where(F.col("_lead") & F.col("_gone").isNull()).drop("_lead", "_gone")
-    rest = df.where(F.coalesce(apart, F.lit(False))).withColumn("also_seen_as", F.array().cast(merged.schema["also_seen_as"].dataType))
+    # running frames that grow from one end: linear in a domain's rows
+    before = F.max(r).over(forth.rowsBetween(W.unboundedPreceding, -1))
+    marked = df.where(~apart).withColumn("_lead", before.isNull() | (r > before))
+    marked = marked.withColumn("_next", F.min(F.when(F.col("_lead"), F.col(arrival))).over(back.rowsBetween(W.unboundedPreceding, -1)))
+    gone = F.when(F.col("_lead"), F.col("_next")).otherwise(F.col(arrival))
+    order = F.struct(F.when(F.col("_lead"), 0).otherwise(1), F.when(F.col("_lead"), -F.col(arrival)).otherwise(F.col(arrival)))
+    filled = [c for c in ("phone", "address") if c in df.columns]
+    out = marked.groupBy(domain).agg(
+        F.max_by(F.struct(*(F.col(c) for c in df.columns)), F.when(F.col("_lead"), F.col(arrival))).alias("_row"),
+        *(F.min_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), order)).alias(f"_{c}") for c in filled),
+        F.sort_array(F.collect_list(F.when(gone.isNotNull(), F.struct(gone.alias("at"), F.col(ident).alias("who"))))).alias("_seen"),
+    )
+    fields = [F.coalesce(f"_{c}", F.col(f"_row.{c}")).alias(c) if c in filled else F.col(f"_row.{c}").alias(c) for c in df.columns]
+    merged = out.select(*fields, F.transform("_seen", lambda x: x["who"]).alias("also_seen_as"))
+    rest = df.where(apart).withColumn("also_seen_as", F.array().cast(merged.schema["also_seen_as"].dataType))
     return merged.unionByName(rest)

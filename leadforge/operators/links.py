@@ -14,6 +14,7 @@ CREDITS = (
     r"(?i)(?:designed|developed|created|maintained|powered|crafted|built)\s*(?:&|and)?\s*(?:designed|developed|maintained)?\s*by\s*[:\-]?\s*([^\n]{2,60})",
     r"(?i)website\s+by\s+([^\n]{2,60})", r"(?i)a\s+unit\s+of\s+([^\n]{2,60})",
 )
+#: Mail domains that belong to no business.
 BAD_EMAIL_DOMAINS = ("example.com", "sentry.io", "wixpress.com", "cloudflare.com", "schema.org", "w3.org", "google.com", "googleapis.com")
 
 
@@ -80,13 +81,13 @@ def contacts(elements: DataFrame, key: str) -> DataFrame:
         rows(a, "phone", one("(?i)^tel:(.*)$"), 0), rows(body, "phone", every(strings.MOBILE, 1), 1),
         rows(a, "email", one("(?i)^mailto:([^?]*)"), 0), rows(body, "email", every(strings.EMAIL, 0), 1),
         rows(a, "whatsapp", one(r"(?i)(?:wa\.me/|whatsapp\.com/send\?phone=)\+?([0-9]+)"), 0),
-        rows(a, "instagram", one(r"(?i)instagram\.com/(?!share\b|p\b)([A-Za-z0-9_.]+)"), 0), rows(a, "facebook", one(r"(?i)facebook\.com/(?!share|sharer|dialog)([A-Za-z0-9_.]+)"), 0),
+        rows(a, "instagram", one(r"(?i)instagram\.com/(?!share\b|p\b)([A-Za-z0-9_.]+)"), 0), rows(a, "facebook", one(r"(?i)facebook\.com/(?!(?:share|sharer|dialog)\b)([A-Za-z0-9_.]+)"), 0),
     ]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     out = out.withColumn("norm", F.when(F.col("kind") == "phone", strings.phone_key(F.col("value"))).when(F.col("kind") == "email", strings.email_key(F.col("value"))).otherwise(F.col("value")))
     mail = F.col("kind") == "email"
-    bad = (mail & (F.regexp_extract("norm", "@(.*)$", 1).isin(*BAD_EMAIL_DOMAINS) | F.col("norm").rlike(r"\.(png|jpg|jpeg|gif|webp|svg)$|^no-?reply"))) | ((F.col("kind") == "phone") & ((F.length("norm") < 7) | F.col("norm").rlike("^[0-9]{6}$")))
+    bad = (mail & (F.regexp_extract("norm", "@(.*)$", 1).isin(*BAD_EMAIL_DOMAINS) | F.col("norm").rlike(r"\.(png|jpg|jpeg|gif|webp|svg)$|^(?:do-?not-?|no-?)reply"))) | ((F.col("kind") == "phone") & ((F.length("norm") < 7) | F.col("norm").rlike("^[0-9]{6}$")))
     w = W.partitionBy(key, "kind", "norm").orderBy("stage", "pos", "i")
     return out.where(~bad).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select(key, "kind", "value", "norm", "stage", "pos", "i")

@@ -84,12 +84,16 @@ def insert_absent(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def deck(leads: DataFrame, by: str = "vertical") -> DataFrame:
-    """Leads in reviewing order with place, the next three domains and the next unreviewed one."""
+    """Leads in reviewing order with place, the next three domains and the next unreviewed one.
+
+    A deck is one vertical, which a person steps through: its rows are ordered in one task.
+    """
     w = W.partitionBy(by).orderBy(F.desc("score"), "domain")
-    rest = w.rowsBetween(1, W.unboundedFollowing)
+    # the rows after one are those before it in the opposite order, where the frame only grows
+    rest = W.partitionBy(by).orderBy("score", F.desc("domain")).rowsBetween(W.unboundedPreceding, -1)
     return leads.withColumns({
         "place": F.row_number().over(w), "next_three": F.collect_list("domain").over(w.rowsBetween(1, 3)),
-        "next_unreviewed": F.first(F.when(F.col("human_tier").isNull(), F.col("domain")), ignorenulls=True).over(rest),
+        "next_unreviewed": F.last(F.when(F.col("human_tier").isNull(), F.col("domain")), ignorenulls=True).over(rest),
     })
 
 

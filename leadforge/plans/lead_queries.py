@@ -392,8 +392,9 @@ def error_kinds(spark, sf_dir):
 def asset_sums(spark, sf_dir):
     from leadforge.operators.captures import asset_bytes
 
-    assets = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_linestatus").alias("type"), F.col("l_quantity").cast("bigint").alias("bytes"))).alias("assets"))
-    return assets.join(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", asset_bytes(F.col("assets")).alias("transfer"), asset_bytes(F.col("assets"), "O").alias("images"))
+    assets = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.array(F.struct(F.col("l_linestatus").alias("type"), F.col("l_quantity").cast("bigint").alias("bytes"))).alias("assets"))
+    sums = assets.groupBy("o_orderkey").agg(F.sum(asset_bytes(F.col("assets"))).alias("transfer"), F.sum(asset_bytes(F.col("assets"), "O")).alias("images"))
+    return sums.join(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
 
 
 @query("SELECT p_partkey, floor(p_size * 100 * least(1e0, 720e0 / (p_size * 100)) + 0.5e0)::BIGINT AS width, least(floor(p_retailprice * least(1e0, 720e0 / (p_size * 100)) + 0.5e0)::BIGINT, 16000) AS height FROM part")

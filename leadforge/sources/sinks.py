@@ -19,7 +19,8 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
     title = df.sparkSession.range(1).select(F.lit(head).alias("_line"), F.lit(0).alias("_part"))
     every = title.unionByName(lines.select("_line", "_part", *order), allowMissingColumns=True)
-    every.coalesce(1).sortWithinPartitions("_part", *order).select("_line").write.mode("overwrite").text(path, lineSep="\r\n")
+    # all work before the file runs in parallel; a single file is written by a single task
+    every.repartition(1).sortWithinPartitions("_part", *order).select("_line").write.mode("overwrite").text(path, lineSep="\r\n")
 
 
 def split_errors(df: DataFrame, error: Column, stage: str) -> tuple[DataFrame, DataFrame]:

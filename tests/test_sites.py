@@ -134,3 +134,7 @@ def test_review_stream(spark, tmp_path):
 
     assert add("1.json", ("a.in", "A", True, "", "2026-01-01", 1), ("a.in", "B", True, "", "2026-01-02", 2), ("b.in", "C", False, "", "2026-01-01", 3)) == {"a.in": "B", "b.in": "C"}
     assert add("2.json", ("b.in", "X", False, "", "2026-02-01", 4)) == {"a.in": "B", "b.in": "X"}
+    check = str(tmp_path / "another check")  # reads all files anew: what the table holds stays, later marks win
+    assert add("3.json", ("c.in", "A", False, "", "2026-03-01", 5)) == {"a.in": "B", "b.in": "X", "c.in": "A"}
+    assert add("4.json", ("a.in", "X", False, "", "2026-03-01", 6)) == {"a.in": "X", "b.in": "X", "c.in": "A"}
+    assert len(reviews.versions(spark, table)) == reviews.KEPT

@@ -8,7 +8,7 @@ the one with the smallest id stays. What stays is rendered turn by turn and asse
 a bounded number of turns, so no conversation is ever collected whole.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first; a repeated row is one turn; null
-role and text are empty; rows without a conversation id form one conversation without id; a marker inside a
+role and text are empty; rows without a conversation id form one conversation without id, which is not the one of an empty id; a marker inside a
 text is broken by a space; empty tables give empty results.
 """
 
@@ -28,7 +28,7 @@ LANES = [f"p{i}" for i in range(4)]
 def prefix_hashes(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(id, place, turn, role, text, p0..p3): lanes of the hash of the conversation up to each turn."""
     rows = df.select(df[key].alias("id"), df[turn].alias("turn"), df[role].alias("role"), df[text].alias("text")).distinct()
-    rows = rows.withColumns({"owner": F.coalesce(F.col("id").cast("string"), F.lit("")), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
+    rows = rows.withColumns({"owner": F.when(F.col("id").isNull(), "none").otherwise(F.concat(F.lit("id "), F.col("id").cast("string"))), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62)))})
     rows = stored(rows, "turns")
     before = W.partitionBy("owner").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     own = W.partitionBy("owner", "block").orderBy("turn", "role", "text")

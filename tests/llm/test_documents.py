@@ -285,10 +285,10 @@ def test_token_counts(docs, rows, nothing):
     encode = tokens.tokenizer(public_tokenizers.path(tokens.RANKS)).encode_ordinary
     want = sorted(((i, len(encode(t or ""))) for i, t, *_ in rows), key=key)
     for block in (1, 7, 1000, tokens.BLOCK_TOKENS):
-        if block == 1:
-            few = docs.where("doc_id in (5, 6, 7, 8, 9)")
-            assert sorted(map(tuple, tokens.token_counts(few, block_tokens=1).collect())) == [x for x in want if x[0] in (5, 6, 7, 8, 9)]
-        elif block != 7:
+        if block < 100:  # short texts, whose separators fall on all places of a block
+            few = docs.where("doc_id in (5, 6, 7, 8, 9, 16)")
+            assert sorted(map(tuple, tokens.token_counts(few, block_tokens=block).collect())) == [x for x in want if x[0] in (5, 6, 7, 8, 9, 16)]
+        else:
             assert sorted(map(tuple, tokens.token_counts(docs, block_tokens=block).collect()), key=key) == want
     assert tokens.token_counts(nothing).count() == 0
 

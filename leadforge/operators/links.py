@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from leadforge.functions import strings, urls
 
-REGIONS = ("nav", "header", "footer", "main", "aside")
 #: Fixed patterns of an agency's credit line, in order.
 CREDITS = (
     r"(?i)(?:designed|developed|created|maintained|powered|crafted|built)\s*(?:&|and)?\s*(?:designed|developed|maintained)?\s*by\s*[:\-]?\s*([^\n]{2,60})",
@@ -18,9 +17,9 @@ CREDITS = (
 BAD_EMAIL_DOMAINS = ("example.com", "sentry.io", "wixpress.com", "cloudflare.com", "schema.org", "w3.org", "google.com", "googleapis.com")
 
 
-def region(ancestors: Column) -> Column:
+def region(landmarks: Column) -> Column:
     """Innermost landmark around an element, main if there is none."""
-    return F.coalesce(F.try_element_at(F.filter(ancestors, lambda t: t.isin(*REGIONS)), F.lit(-1)), F.lit("main"))
+    return F.coalesce(F.try_element_at(landmarks, F.lit(-1)), F.lit("main"))
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -38,7 +37,7 @@ def links(elements: DataFrame, pages: DataFrame, key: str, url: str = "url") ->
     a = a.join(pages.select(key, F.col(url).alias("base")), key)
     raw = F.trim(F.col("attrs")["href"])
     address = F.when(urls.scheme(raw).isin("mailto:", "tel:"), raw).otherwise(urls.clean_href(absolute(raw, F.col("base"))))
-    a = a.withColumns({"href": address, "kind": urls.kind(address, urls.registrable(F.col("base"))), "region": region(F.col("ancestors"))})
+    a = a.withColumns({"href": address, "kind": urls.kind(address, urls.registrable(F.col("base"))), "region": region(F.col("landmarks"))})
     clip = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 120)
     w = W.partitionBy(key, "href").orderBy("pos")
     out = a.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")

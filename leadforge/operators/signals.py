@@ -20,6 +20,9 @@ SLIDERS = (
     ("jquery cycle", r"jquery[.\-]?cycle", None), ("slick", "slick(?![a-z])", rf"(?i)slick[.\-]?{VERSION}"), ("swiper", "swiper", rf"(?i)swiper[.\-]?(?:bundle[.\-]?)?{VERSION}"),
     ("splide", "splide", None), ("embla", r"embla[.\-]?carousel", None), ("keen-slider", r"keen[.\-]?slider", None),
 )
+#: Fixed patterns of chat links and marks, of blog links, and fixed classes of form plugins with their labels.
+CHAT_LINK, CHAT_NAME, CHAT_MARK, BLOG = r"(?i)wa\.me|api\.whatsapp\.com|whatsapp://", "(?i)whats-?app", "whatsapp|whats-app", "(?i)blog|news|articles"
+FORMS = (("wpcf7", "contact form 7"), ("wpforms", "wpforms"), ("gform", "gravity form"))
 #: Fixed order of site builders by their asset paths.
 BUILDERS = (("Next.js", r"/_next/static/"), ("Wix", r"(?i)wix|_partials/|wixstatic"), ("Squarespace", "(?i)squarespace"), ("Shopify", "(?i)shopify"))
 
@@ -51,13 +54,16 @@ def page_signals(elements: DataFrame, key: str, https: Column | None = None) ->
     tail = F.substr(body, F.floor(F.length(body) * 0.85).cast("int") + 1)
     named = F.concat(F.coalesce(attr("class"), F.lit("")), F.coalesce(attr("id"), F.lit("")))
     floats = F.coalesce(F.lower(attr("class")).rlike("float|fixed"), F.lit(False)) | F.coalesce(F.lower(attr("style")).rlike(r"position\s*:\s*fixed"), F.lit(False))
-    chat = (tag == "a") & attr("href").isNotNull() & (attr("href").rlike(r"(?i)wa\.me|api\.whatsapp\.com|whatsapp://") | named.rlike("(?i)whats-?app"))
-    chat_mark = F.coalesce(attr("class").rlike("whatsapp|whats-app") | attr("id").rlike("whatsapp"), F.lit(False))
+    chat = (tag == "a") & attr("href").isNotNull() & (attr("href").rlike(CHAT_LINK) | named.rlike(CHAT_NAME))
+    chat_mark = F.coalesce(attr("class").rlike(CHAT_MARK) | attr("id").rlike("whatsapp"), F.lit(False))
     floating = F.coalesce(F.lower(attr("class")).rlike("float|fixed"), F.lit(False))
     action, post = F.coalesce(attr("action"), F.lit("")), F.lower(F.coalesce(attr("method"), F.lit("get"))) == "post"
     css = F.coalesce(attr("class"), F.lit(""))
-    form = F.when(action.startswith("mailto:"), "mailto: only").when(post | (action != ""), F.when(css.contains("wpcf7"), "contact form 7").when(css.contains("wpforms"), "wpforms").when(css.contains("gform"), "gravity form").otherwise("contact form"))
-    blog_link = (tag == "a") & attr("href").isNotNull() & F.concat(attr("href"), F.col("text")).rlike("(?i)blog|news|articles")
+    plugin = F
+    for name, label in FORMS:
+        plugin = plugin.when(css.contains(name), label)
+    form = F.when(action.startswith("mailto:"), "mailto: only").when(post | (action != ""), plugin.otherwise("contact form"))
+    blog_link = (tag == "a") & attr("href").isNotNull() & F.concat(attr("href"), F.col("text")).rlike(BLOG)
     plain = sum((F.coalesce(attr(k).startswith("http://"), F.lit(False)).cast("int") for k in ("src", "href", "srcset")), F.lit(0))
     theme = found(link, "/wp-content/themes/([^/]+)/")
 
@@ -73,7 +79,7 @@ def page_signals(elements: DataFrame, key: str, https: Column | None = None) ->
         "autoplay": F.bool_or((tag == "video") & attr("autoplay").isNotNull()),
         "chat": F.max(F.when(chat, F.when(floats, 2).otherwise(1))), "chat_mark": F.max(F.when(chat_mark, F.when(floating, 2).otherwise(1))),
         "form": first(F.when(tag == "form", form)), "forms": F.collect_set(F.when((tag == "form") & (action != ""), action)),
-        "post_year": first(F.when(blog_link, found(F.col("parent_text"), YEAR))), "blog_link": F.bool_or(blog_link),
+        "post_year": first(F.when(blog_link, F.col("parent_year"))), "blog_link": F.bool_or(blog_link),
     }
     for i, (_, pattern, version) in enumerate(SLIDERS):
         hit = asset.rlike(pattern)

@@ -1,45 +1,71 @@
-"""Element table of saved HTML: one row per element, from which signals, links and contacts are plain aggregates."""
+"""Element table of saved HTML: one row per element, from which signals, links and contacts are plain aggregates.
+
+Texts are held once, by the elements that need them: an anchor knows the first year in its parent's text and the
+landmarks that it stands in, so rows do not grow with the depth of a page or with the number of links in a paragraph.
+A page without any element has one row with an empty tag and its text; an empty or null page has none.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ELEMENTS = "pos int, tag string, attrs map<string,string>, text string, parent_text string, ancestors array<string>"
+ELEMENTS = "pos int, tag string, attrs map<string,string>, text string, parent_year string, landmarks array<string>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose own text signals need.
 TEXT_OF = frozenset("a address body footer form h1 h2 h3 h4 h5 h6 script style title".split())
+LANDMARKS = frozenset("nav header footer main aside".split())
+YEAR = re.compile("(?:19|20)[0-9]{2}")
+#: Rows that are passed on at once.
+FRAME_ROWS = 5_000
 
 
 class _Elements(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
-        self.open: list[tuple[str, int, int]] = []  # tag, row, first piece of text
+        self.open: list[tuple[str, int, int, list[int]]] = []  # tag, row, first piece of text, rows of its anchors
+        self.of_tag: Counter[str] = Counter()
+        self.landmarks: list[str] = []
         self.pieces: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.rows.append([len(self.rows), tag, {k: v or "" for k, v in attrs}, "", "", [t for t, _, _ in self.open]])
+        if tag == "a":  # anchors do not nest
+            self.handle_endtag(tag)
+        row = len(self.rows)
+        self.rows.append([row, tag, {k: v or "" for k, v in attrs}, "", None, list(self.landmarks)])
+        if tag == "a" and self.open:
+            self.open[-1][3].append(row)
         if tag not in VOID:
-            self.open.append((tag, len(self.rows) - 1, len(self.pieces)))
+            self.open.append((tag, row, len(self.pieces), []))
+            self.of_tag[tag] += 1
+            if tag in LANDMARKS:
+                self.landmarks.append(tag)
         elif tag == "br":
             self.pieces.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _, _ in self.open):
+        if self.of_tag[tag]:
             while self._close() != tag:
                 pass
 
     def _close(self) -> str:
-        tag, row, first = self.open.pop()
-        if tag in TEXT_OF:
-            self.rows[row][3] = "".join(self.pieces[first:])
-        for child in range(row + 1, len(self.rows)):
-            if self.rows[child][1] == "a" and len(self.rows[child][5]) == len(self.rows[row][5]) + 1:
-                self.rows[child][4] = "".join(self.pieces[first:])
+        tag, row, first, anchors = self.open.pop()
+        self.of_tag[tag] -= 1
+        if tag in LANDMARKS:
+            self.landmarks.pop()
+        if tag in TEXT_OF or anchors:
+            text = "".join(self.pieces[first:])
+            if tag in TEXT_OF:
+                self.rows[row][3] = text
+            if anchors and (year := YEAR.search(text)):
+                for anchor in anchors:
+                    self.rows[anchor][4] = year[0]
         return tag
 
     def handle_data(self, data: str) -> None:
@@ -53,19 +79,23 @@ def elements(html: str | None) -> list[list]:
     p.close()
     while p.open:
         p._close()
-    return p.rows
+    return p.rows or ([[0, "", {}, "".join(p.pieces), None, []]] if html else [])
 
 
 def html_elements(df: DataFrame, key: str, html: str) -> DataFrame:
     """Element table of a column of HTML. Filter before it: nothing is pushed below it."""
     key_type = df.schema[key].dataType.simpleString()
+    names = [key, "pos", "tag", "attrs", "text", "parent_year", "landmarks"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, text in zip(pdf["key"], pdf["html"]):
-                if rows := elements(text):
-                    out = pd.DataFrame(rows, columns=["pos", "tag", "attrs", "text", "parent_text", "ancestors"])
-                    out.insert(0, key, k)
-                    yield out
+            held: list[list] = []
+            for k, text in zip(pdf["key"].astype(object), pdf["html"]):
+                held += [[k, *row] for row in elements(text)]
+                if len(held) >= FRAME_ROWS:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
     return df.select(df[key].alias("key"), df[html].alias("html")).mapInPandas(run, f"`{key}` {key_type}, {ELEMENTS}")

@@ -138,3 +138,20 @@ def test_review_stream(spark, tmp_path):
     assert add("3.json", ("c.in", "A", False, "", "2026-03-01", 5)) == {"a.in": "B", "b.in": "X", "c.in": "A"}
     assert add("4.json", ("a.in", "X", False, "", "2026-03-01", 6)) == {"a.in": "X", "b.in": "X", "c.in": "A"}
     assert len(reviews.versions(spark, table)) == reviews.KEPT
+
+
+def test_elements_stay_linear_and_pages_without_tags_have_a_row(spark):
+    import time
+
+    from leadforge.sources.html import elements, html_elements
+
+    began = time.perf_counter()
+    links = elements("<p>" + "".join(f"<a href=/{i}>x{i}</a> words and more words " for i in range(8000)) + "in 2019</p>")
+    deep = elements("<div>" * 20_000 + "<a href=/>z" + "</i>" * 20_000)
+    assert time.perf_counter() - began < 5
+    assert {r[4] for r in links if r[1] == "a"} == {"2019"} and sum(len(r[3]) for r in links) < 100_000
+    assert len(deep) == 20_001 and sum(len(r[5]) for r in deep) == 0
+    nested = elements("<nav><a href=/1>one<a href=/2>two</a></nav><footer><p><a href=/3>three</a></p></footer>")
+    assert [(r[3], r[5]) for r in nested if r[1] == "a"] == [("one", ["nav"]), ("two", ["nav"]), ("three", ["footer"])]
+    got = html_elements(spark.createDataFrame([(1, "just text"), (2, None), (None, "<p>x")], "k bigint, h string"), "k", "h").collect()
+    assert sorted((x["k"] or 0, x["tag"], x["text"]) for x in got) == [(0, "p", ""), (1, "", "just text")]

@@ -146,7 +146,7 @@ def test_elements_stay_linear_and_pages_without_tags_have_a_row(spark):
     from leadforge.sources.html import elements, html_elements
 
     began = time.perf_counter()
-    links = elements("<p>" + "".join(f"<a href=/{i}>x{i}</a> words and more words " for i in range(8000)) + "in 2019</p>")
+    links = elements("<p>" + "".join(f"<a href=/{i}>x</a> words and more words " for i in range(8000)) + "in 2019</p>")
     deep = elements("<div>" * 20_000 + "<a href=/>z" + "</i>" * 20_000)
     assert time.perf_counter() - began < 5
     assert {r[4] for r in links if r[1] == "a"} == {"2019"} and sum(len(r[3]) for r in links) < 100_000

@@ -4,12 +4,14 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Documents
 are one node. Grams have one global order: by falling rarity as a fixed table of counters sees it,
 then by hash. The join has four steps.
 
-1. Prefixes. Sets that reach the threshold share a gram among the first ``size - ceil(threshold *
-   size) + 1`` grams of the order, so only those are shown. Rare grams come first: a passage that
-   many documents quote is hardly ever in a prefix, and most prefixes meet nobody.
+1. Prefixes. Sets that reach the threshold share k grams among the first ``size - ceil(threshold *
+   size) + k`` grams of the order, so only those are shown; k grows with the size. Rare grams come first: a passage that
+   many documents quote is hardly ever in a prefix. A node that meets others in fewer grams than any
+   partner would share has no partner and is peeled off, which removes what meets by chance.
 2. Blocks. Of the nodes that show the same gram the one with the smallest number is its pivot, and
-   every node belongs to the blocks of its grams' pivots. Two nodes that show a common gram are
-   in a common block, so no link is lost, and a node is in few blocks, since a family's grams have few pivots.
+   a node belongs to the blocks of its grams' pivots. Two nodes that show a common gram are
+   in a common block. A node leaves out the pivots of its fewest grams, less than half of what it shares with any
+   partner: as partners leave out less than half too, they still meet, and no link is lost.
    Blocks over a fixed size are cut into chunks in the order of set sizes; a chunk is a task.
 3. Prefix trees. In a task the sets, ordered by falling frequency and then by hash, are stored in a
    trie; each set walks it, sharing the partial overlap of common prefixes, and leaves a subtree
@@ -54,6 +56,8 @@ COUNTER_BITS, COUNTER_PART_BITS = 20, 14
 MAP_BITS, MAP_BLOCK_BITS = 24, 18
 #: Rows of the table of chosen nodes (about 64 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Grams, in percent of a set, that its prefix is longer than one shared gram needs.
+MORE_PERCENT = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -139,7 +143,7 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
         bounds = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in part)]))
         grams = _grams(words, n)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            yield _distinct(grams[a : b - n + 1] if b - a >= n else _grams(words[a:b], b - a))
+            yield _distinct(grams[a : b - n + 1]) if b - a >= n else _grams(words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
         first = last
 
 
@@ -165,6 +169,16 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(65535, 2048 * np.log2(1.0 + counts)).astype(np.uint16)
 
 
+def shared_grams(size: int) -> int:
+    """Grams that the prefixes of two linked sets share, if the smaller has this size."""
+    return 1 + MORE_PERCENT * size // 100
+
+
+def least_shared(size: int, percent: int) -> int:
+    """Grams that a set's prefix shares with that of any partner, at least."""
+    return shared_grams(-(-percent * size // 100))
+
+
 def prefix(grams: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
     """Names of the first grams of a set in the global order, as many as a partner's prefix must meet.
 
@@ -174,7 +188,7 @@ def prefix(grams: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
     if not len(grams):
         return grams
     names = (levels[counter_of(grams)].astype(np.uint64) << np.uint64(48)) | (grams & np.uint64((1 << 48) - 1))
-    shown = len(grams) + 1 + (-percent * len(grams)) // 100
+    shown = len(grams) + shared_grams(len(grams)) + (-percent * len(grams)) // 100
     return np.partition(names, shown - 1)[:shown] if shown < len(names) else names
 
 
@@ -298,7 +312,7 @@ def rarity_levels(counted: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-SHOWN = "nid bigint, gram bigint"
+SHOWN = "nid bigint, need int, gram bigint"
 
 
 def _prefixes(n: int, percent: int, levels, met=None):
@@ -306,16 +320,18 @@ def _prefixes(n: int, percent: int, levels, met=None):
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            numbers, parts = [], []
+            numbers, needs, parts = [], [], []
             for s in gram_sets(pdf["text"].tolist(), n):
                 if len(s):
                     shown = _mix(prefix(s, percent, levels.value)).view(np.int64)
                     shown = shown if met is None else shown[mapped(met.value, shown)]
                     if len(shown):
                         numbers.append(_node_number(set_node(s)))
+                        needs.append(least_shared(len(s), percent))
                         parts.append(shown)
             if parts:
-                yield pd.DataFrame({"nid": np.repeat(np.array(numbers, np.int64), [len(p) for p in parts]), "gram": np.concatenate(parts)})
+                lengths = [len(p) for p in parts]
+                yield pd.DataFrame({"nid": np.repeat(np.array(numbers, np.int64), lengths), "need": np.repeat(np.array(needs, np.int32), lengths), "gram": np.concatenate(parts)})
 
     return show
 
@@ -326,6 +342,27 @@ def met_grams(shown: DataFrame) -> DataFrame:
     return met.where(F.col("pivot") != F.col("top")).select("gram", "pivot")
 
 
+def peeled(shown: DataFrame, met: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows and met grams of the nodes that show as many met grams as a partner would share.
+
+    Dropping a node can take others below their need, so this is done in rounds; each may be the last
+    without losing a link, since it only ever drops nodes that cannot have a partner.
+    """
+    for _ in range(rounds):
+        rows = stored(shown.join(met.select("gram"), "gram", "left_semi").distinct(), "rows")
+        enough = rows.groupBy("nid").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).where("has >= least").select("nid")
+        shown = stored(rows.join(enough, "nid", "left_semi"), "peeled")
+        met = stored(met_grams(shown), "met")
+    return shown, met
+
+
+def members_of(shown: DataFrame, met: DataFrame) -> DataFrame:
+    """(nid, block): the pivots of each node's met grams, without those of its fewest grams."""
+    by_pivot = shown.join(met, "gram").groupBy("nid", "pivot").agg(F.count(F.lit(1)).alias("grams"), F.max("need").alias("need"))
+    fewest = F.sum("grams").over(W.partitionBy("nid").orderBy(F.col("nid") == F.col("pivot"), "grams", "pivot").rowsBetween(W.unboundedPreceding, 0))
+    return by_pivot.withColumn("_so_far", fewest).where(2 * F.col("_so_far") > F.col("need") - 1).select("nid", F.col("pivot").alias("block"))
+
+
 def _map_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(1 << MAP_BLOCK_BITS, bool)
     bits[pdf["bit"]] = True
@@ -449,7 +486,9 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     met = stored(met_grams(texts.mapInPandas(_prefixes(n, percent, levels), SHOWN)), "met")
     # most grams belong to one set: they are dropped where they are made, before any second shuffle
     shown = texts.mapInPandas(_prefixes(n, percent, levels, broadcast(key_map(met, "gram"))), SHOWN)
-    members = shown.join(met, "gram").select("nid", F.col("pivot").alias("block")).distinct()
+    members = stored(members_of(*peeled(shown, met)), "routes")
+    several = members.groupBy("block").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("block")
+    members = members.join(several, "block", "left_semi")
     members = stored(chunked(members.join(nodes.drop("first"), "nid"), ["block"]), "members")
     links = _links(source, stored(first_tasks(members), "tasks"), n, percent)
     roots = stored(components(links), "roots")

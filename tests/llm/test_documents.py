@@ -174,9 +174,10 @@ def test_routing_and_trie_lose_no_link(percent):
         counts = np.bincount(ngrams.counter_of(np.concatenate(sets)), minlength=1 << ngrams.COUNTER_BITS)
         for levels in (ngrams.levels_of(counts), np.zeros_like(counts, dtype=np.uint16)):
             routes = [set(ngrams.prefix(s, percent, levels).tolist()) for s in sets]
-            assert all(len(r) <= len(s) - -(-percent * len(s) // 100) + 1 for r, s in zip(routes, sets))
+            assert all(len(r) <= len(s) - -(-percent * len(s) // 100) + ngrams.shared_grams(len(s)) for r, s in zip(routes, sets))
             links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
-            assert all(routes[i] & routes[j] for i, j in links)
+            needs = [ngrams.least_shared(len(s), percent) for s in sets]
+            assert all(len(routes[i] & routes[j]) >= max(needs[i], needs[j]) for i, j in links)
 
         def classes(pairs):
             root = list(range(len(sets)))

@@ -65,10 +65,15 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more rows than ``most``; else the planner joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def without(df: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows of ``df`` whose keys are not in ``gone``, a stored table; ``keys`` gives each of its columns as a column of ``df``. Null keys match null."""
     right = gone.select(*(F.col(c).alias(f"__gone_{c}") for c in keys))
-    right = F.broadcast(right) if right.count() <= BROADCAST_KEYS else right
+    right = small(right)
     same = [value.eqNullSafe(right[f"__gone_{c}"]) for c, value in keys.items()]
     return df.join(right, same, "left_anti").select(*(df[c] for c in df.columns))
 

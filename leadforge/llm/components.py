@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Only edges move: no adjacency list is collected, minima are pre-aggregated and stored, so that the join
-back to the edges is one of two plain shuffles and adaptive execution can split a hub; every round is
+back to the edges is a broadcast up to a counted size, and beyond it one of two plain shuffles, of which adaptive execution can split a hub; every round is
 stored in the shared folder. Rounds end when the edges no longer change.
 
 Defined cases: edges of a node to itself and repeated edges count for nothing; edges with a null end are
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadforge.llm.common import stored
+from leadforge.llm.common import small, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    least = stored(least, "least")
+    least = small(stored(least, "least"))
     met = near.join(least, near["a"] == least["k"])
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leadforge.llm.common import slices, stored, without
+from leadforge.llm.common import slices, small, stored, without
 from leadforge.llm.components import components
 
 #: Sets and grams of a chunk, about; and how many members of a block go to each of its chunks besides the pivot.
@@ -349,7 +349,7 @@ def peeled(shown: DataFrame, met: DataFrame, rounds: int = 2) -> tuple[DataFrame
     without losing a link, since it only ever drops nodes that cannot have a partner.
     """
     for _ in range(rounds):
-        rows = stored(shown.join(met.select("gram"), "gram", "left_semi").distinct(), "rows")
+        rows = stored(shown.join(small(met.select("gram"), BROADCAST_ROWS), "gram", "left_semi").distinct(), "rows")
         enough = rows.groupBy("nid").agg(F.count(F.lit(1)).alias("has"), F.max("need").alias("least")).where("has >= least").select("nid")
         shown = stored(rows.join(enough, "nid", "left_semi"), "peeled")
         met = stored(met_grams(shown), "met")
@@ -358,7 +358,7 @@ def peeled(shown: DataFrame, met: DataFrame, rounds: int = 2) -> tuple[DataFrame
 
 def members_of(shown: DataFrame, met: DataFrame) -> DataFrame:
     """(nid, block): the pivots of each node's met grams, without those of its fewest grams."""
-    by_pivot = shown.join(met, "gram").groupBy("nid", "pivot").agg(F.count(F.lit(1)).alias("grams"), F.max("need").alias("need"))
+    by_pivot = shown.join(small(met, BROADCAST_ROWS), "gram").groupBy("nid", "pivot").agg(F.count(F.lit(1)).alias("grams"), F.max("need").alias("need"))
     fewest = F.sum("grams").over(W.partitionBy("nid").orderBy(F.col("nid") == F.col("pivot"), "grams", "pivot").rowsBetween(W.unboundedPreceding, 0))
     return by_pivot.withColumn("_so_far", fewest).where(2 * F.col("_so_far") > F.col("need") - 1).select("nid", F.col("pivot").alias("block"))
 
@@ -427,7 +427,7 @@ def _links(source: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFra
     """Links that the tries of all tasks find; ``dealt``: row_key and the columns of TASK."""
     # only the chosen rows' texts are turned into sets again; no text is shuffled
     wanted = source.sparkSession.sparkContext.broadcast(key_map(dealt, "row_key"))
-    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    dealt = small(dealt, BROADCAST_ROWS)
     sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
     tasks = sets.join(dealt, "row_key").where(F.col("made") == F.col("node")).select(*TASK, "grams")
     tasks = tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadforge.llm.chat import formatted
+from leadforge.llm.clusters import clustered
 from leadforge.llm.common import table
 from leadforge.llm.exact import exact_groups
 from leadforge.llm.mixing import assign, in_order, readings
 from leadforge.llm.ngrams import similar_groups
 from leadforge.llm.pages import main_text
+from leadforge.llm.phrases import collocations
 from leadforge.llm.pieces import encoded
 from leadforge.llm.quality import quality_verdicts
 from leadforge.llm.tokens import token_counts
@@ -74,6 +76,40 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clustered(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _rounds(n: int = 5) -> str:
+    """SQL of the clustering: n rounds, then a last assignment."""
+    parts = [r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), x AS (SELECT row, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+c0 AS (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept ORDER BY c LIMIT 40))"""]
+    for r in range(n + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, c, d FROM (SELECT row, c, d, row_number() OVER (PARTITION BY row ORDER BY d, c) AS p FROM (
+    SELECT row, c, sum((x.x - m.x) * (x.x - m.x))::BIGINT AS d FROM x JOIN c{r} m USING (i) GROUP BY row, c)) WHERE p = 1)""")
+        if r < n:
+            parts.append(f"""
+m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (row) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM c{r} LEFT JOIN m{r} USING (c, i))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a{n} JOIN kept USING (row) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{n} GROUP BY c) USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -86,9 +122,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_phrase_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, w[i:i + m - 1] AS ws, m, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 6) t(m)
+  WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), own AS (
+  SELECT * FROM g WHERE m >= 2 AND NOT EXISTS (SELECT 1 FROM g o WHERE o.lang = g.lang AND o.m = g.m + 1 AND o.f >= g.f AND (o.ws[1:g.m] = g.ws OR o.ws[2:] = g.ws))
+), cuts AS (
+  SELECT own.lang, own.ws, own.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * own.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM own, range(1, 5) t(k), total, g l, g r
+  WHERE k < own.m AND total.lang = own.lang AND l.lang = own.lang AND l.ws = own.ws[1:k] AND r.lang = own.lang AND r.ws = own.ws[k + 1:]
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS c FROM cuts)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, n, score
+FROM best WHERE c = 1 QUALIFY rank <= 2000""",
+    "op13_centroid_clustering": _rounds(),
     "op5_chat_formatting": r"""
 WITH r AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY conv_id) AS n,

@@ -12,6 +12,7 @@ from leadforge.llm.chat import formatted
 from leadforge.llm.clusters import clustered
 from leadforge.llm.common import table
 from leadforge.llm.exact import exact_groups
+from leadforge.llm.fingerprints import fingerprints
 from leadforge.llm.mixing import assign, in_order, readings
 from leadforge.llm.ngrams import similar_groups
 from leadforge.llm.pages import main_text
@@ -76,6 +77,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents")).withColumnsRenamed({"id": "doc_id", "edited_digest": "edited_sha256"})
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -37,8 +37,8 @@ BREAK = re.compile(r"[.,;:!?\n-\r]")
 CHUNK = 1 << 20
 #: Bits of the maps of frequent words and pairs.
 WORD_BITS, PAIR_BITS = 24, 25
-#: Rows that a task gathers before equal ones become one.
-GATHERED = 500_000
+#: Different rows that a task gathers before it passes them on: some 50 MB.
+GATHERED = 1_000_000
 #: Suffix rows of one sorting task, about.
 SORTED = 400_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -145,22 +145,36 @@ def by_language(pdf: pd.DataFrame) -> Iterator[tuple[str, list[str]]]:
 
 
 class Gatherer:
-    """Rows of whole numbers by language, with equal rows as one: given out when there are many."""
+    """Rows of whole numbers by language, with equal rows as one. They are given out when GATHERED are left after equal ones have been joined."""
 
     def __init__(self, names: list[str]) -> None:
-        self.names, self.held, self.n = names, {}, 0
+        self.names, self.held, self.n, self.at_most = names, {}, 0, GATHERED
 
     def add(self, lang: str, columns: list[np.ndarray]) -> None:
         rows = grouped(columns, np.ones(len(columns[0]), np.int64))
         self.held.setdefault(lang, []).append(rows)
         self.n += len(rows[1])
 
-    def out(self) -> Iterator[pd.DataFrame]:
+    def join(self) -> None:
         for lang, parts in self.held.items():
-            columns, n = grouped([np.concatenate([p[0][i] for p in parts]) for i in range(len(self.names))], np.concatenate([p[1] for p in parts]))
+            if len(parts) > 1:
+                self.held[lang] = [grouped([np.concatenate([p[0][i] for p in parts]) for i in range(len(self.names))], np.concatenate([p[1] for p in parts]))]
+        self.n = sum(len(p[1]) for parts in self.held.values() for p in parts)
+        self.at_most = max(GATHERED, self.n + GATHERED // 2)
+
+    def full(self) -> Iterator[pd.DataFrame]:
+        """What must go now so that memory stays bounded."""
+        if self.n >= self.at_most:
+            self.join()
+            if self.n >= GATHERED:
+                yield from self.out()
+
+    def out(self) -> Iterator[pd.DataFrame]:
+        self.join()
+        for lang, [(columns, n)] in self.held.items():
             for a in range(0, len(n), 50_000):
                 yield pd.DataFrame({"lang": lang} | {c: x[a : a + 50_000] for c, x in zip(self.names, columns)} | {"f": n[a : a + 50_000]})
-        self.held, self.n = {}, 0
+        self.held, self.n, self.at_most = {}, 0, GATHERED
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -190,8 +204,7 @@ def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 some = (h != 0) & marked(words, slots([h], lang, WORD_BITS))
                 at = (some[:-1] & some[1:]).nonzero()[0]
                 held.add(lang, [h[at], h[at + 1]])
-            if held.n >= GATHERED:
-                yield from held.out()
+            yield from held.full()
         yield from held.out()
 
     return docs.mapInPandas(run, "lang string, h1 bigint, h2 bigint, f bigint").groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f"))
@@ -215,8 +228,7 @@ def suffixes(docs: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
                     goes_on = goes_on & some[np.minimum(at + k - 1, len(some) - 1)]
                     columns.append(np.where(goes_on, h[np.minimum(at + k, len(h) - 1)], 0))
                 held.add(lang, columns)
-            if held.n >= GATHERED:
-                yield from held.out()
+            yield from held.full()
         yield from held.out()
 
     return docs.mapInPandas(run, f"lang string, {', '.join(f'{c} bigint' for c in names)}, f bigint")

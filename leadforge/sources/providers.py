@@ -1,10 +1,8 @@
-"""Rows of listing providers: nested answers projected to flat listings, and the choice of a source by name."""
+"""Rows of listing providers: nested answers projected to flat listings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fields of a provider's answer that are read.
@@ -12,23 +10,6 @@ PLACE = (
     "id string, displayName struct<text:string>, websiteUri string, rating double, userRatingCount bigint, formattedAddress string, nationalPhoneNumber string, "
     "location struct<latitude:double,longitude:double>, businessStatus string, primaryType string"
 )
-SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def source(name: str):
-    """Registers a reader of listings under a name."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        SOURCES[name] = f
-        return f
-
-    return register
-
-
-def read_source(spark: SparkSession, name: str, path: str) -> DataFrame:
-    if name not in SOURCES:
-        raise ValueError(f"unknown source {name}; there are {', '.join(sorted(SOURCES))}")
-    return SOURCES[name](spark, path)
 
 
 def listing(place: Column) -> Column:
@@ -40,9 +21,3 @@ def listing(place: Column) -> Column:
         some(p["formattedAddress"]).alias("address"), some(p["nationalPhoneNumber"]).alias("phone"), p["location"]["latitude"].alias("lat"), p["location"]["longitude"].alias("lng"),
         some(p["businessStatus"]).alias("business_status"), some(p["primaryType"]).alias("primary_type"),
     )
-
-
-@source("recorded")
-def recorded(spark: SparkSession, path: str) -> DataFrame:
-    """Answers that were saved one to a line."""
-    return spark.read.text(path).select(listing(F.col("value")).alias("l")).select("l.*")

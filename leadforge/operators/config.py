@@ -78,8 +78,12 @@ def canonical_name(name: Column, aliases: list[tuple[str, str]]) -> Column:
     out = F.when(plain.isNull(), plain)
     for key, value in aliases:
         out = out.when(F.contains(F.lower(plain), F.lit(key.lower())), F.lit(value))
-    words = F.transform(F.split(plain, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000)))
-    return out.otherwise(F.array_join(words, " "))
+    return out.otherwise(capitalised(plain))
+
+
+def capitalised(plain: Column) -> Column:
+    """Words with their first letter raised, their other letters kept."""
+    return F.array_join(F.transform(F.split(plain, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000))), " ")
 
 
 def theme_note(slug: Column, market: list[tuple[str, str]]) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadforge.functions import urls
-from leadforge.operators import classify
+from leadforge.functions import suffixes, urls
+from leadforge.operators import classify, phrasebook, schedule
 from leadforge.plans.views import duck, view
-from leadforge.sources import recorded
+from leadforge.sources import recorded, runlog
 from leadforge.sources.keyed import KeyedTable
 from leadforge.sources.shared import new_folder
 from leadforge.streaming import marks, resume
@@ -103,3 +103,68 @@ def resume_stream(spark, sf_dir):
         todo.where(F.col("part") == part).drop("part").write.mode("append").json(f"{folder}/in")
         resume.run_stage(spark, f"{folder}/in", schema, F.col("verdict").isNotNull(), work, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return resume.in_first_order(spark, f"{folder}/table", "place").select("place", "verdict", "reason", "domain")
+
+
+#: Aliases are passages of documents and suppliers' numbers: many more than a chain of conditions could hold.
+_ALIASES = """
+SELECT row_number() OVER (ORDER BY key) - 1 AS ordinal, key, upper(key) AS value FROM (
+  SELECT DISTINCT lower(substr(text, 20, 9)) AS key FROM {documents} WHERE doc_id % 5 = 0 AND length(text) >= 40 UNION SELECT lower(s_name) FROM {supplier} WHERE s_suppkey % 2 = 0
+) a ORDER BY key LIMIT 10000
+"""
+
+
+@query(f"""WITH a AS ({_ALIASES}), t AS (SELECT 'd' || doc_id AS k, text AS raw FROM documents UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)
+SELECT k, ordinal::INTEGER AS place FROM (SELECT k, min(ordinal) AS ordinal FROM t LEFT JOIN a ON contains(lower(raw), key) GROUP BY k)""")
+def alias_automaton(spark, sf_dir):
+    aliases = [(r["key"], r["value"]) for r in view(spark, sf_dir, _ALIASES).collect()]  # a bounded configuration
+    texts = view(spark, sf_dir, "SELECT concat('d', doc_id) AS k, text AS raw FROM {documents} UNION ALL SELECT concat('s', s_suppkey), s_name FROM {supplier}")
+    return texts.select("k", phrasebook.first_phrase(F.col("raw"), [k for k, _ in aliases]).alias("place"))
+
+
+@query(f"WITH a AS ({_ALIASES}), m AS (SELECT s_suppkey, min_by(value, ordinal) AS value FROM supplier JOIN a ON contains(lower(s_name), key) GROUP BY s_suppkey) SELECT s_suppkey, coalesce(value, s_name) AS name FROM supplier LEFT JOIN m USING (s_suppkey)")
+def alias_names(spark, sf_dir):
+    aliases = [(r["key"], r["value"]) for r in view(spark, sf_dir, _ALIASES).collect()]
+    raw = view(spark, sf_dir, "SELECT s_suppkey, concat(' ', s_name, '!,') AS raw FROM {supplier}")
+    return phrasebook.canonical_names(raw, "raw", aliases).select("s_suppkey", "name")
+
+
+#: Suffix rules: some fixed, a wildcard, and an exception to it for the hosts of every seventh page.
+_RULES = """
+SELECT DISTINCT rule FROM (
+  SELECT '!' || regexp_extract(url, '([^./:]+[.]example[.]net)', 1) AS rule FROM {pages} WHERE page_id % 7 = 0 AND url LIKE '%.example.net%'
+  UNION ALL SELECT 'com' UNION ALL SELECT 'org' UNION ALL SELECT 'net' UNION ALL SELECT 'example.com' UNION ALL SELECT '*.example.net' UNION ALL SELECT '*.ck' UNION ALL SELECT '!www.ck'
+) r
+"""
+
+
+@query(rf"""WITH rules AS ({_RULES}), h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+c AS (SELECT page_id, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM h),
+f AS (SELECT page_id, n, 0 AS ex, array_to_string(l[-n:], '.') AS rule FROM c UNION ALL SELECT page_id, n, 0, '*.' || array_to_string(l[-(n - 1):], '.') FROM c WHERE n > 1 UNION ALL SELECT page_id, n, 1, '!' || array_to_string(l[-n:], '.') FROM c),
+best AS (SELECT page_id, max(ex * 100 + n) AS b FROM f JOIN rules USING (rule) GROUP BY page_id),
+w AS (SELECT page_id, string_split(host, '.') AS l, coalesce(b % 100 - b // 100, 1) AS width FROM h LEFT JOIN best USING (page_id))
+SELECT page_id, CASE WHEN len(l) > width THEN array_to_string(l[-(width + 1):], '.') END AS domain FROM w""")
+def public_suffix(spark, sf_dir):
+    hosts = view(spark, sf_dir, "SELECT page_id, url FROM {pages}").select("page_id", urls.host(F.col("url")).alias("host"))
+    return suffixes.with_registrable(hosts, "host", view(spark, sf_dir, _RULES)).select("page_id", "domain")
+
+
+_REQUESTS = "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 0 ELSE user_id END AS host, ts FROM {events}"
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS i FROM ({_REQUESTS})),
+s AS (
+  SELECT event_id, host, i, ts, ts AS start FROM q WHERE i = 1
+  UNION ALL SELECT q.event_id, q.host, q.i, q.ts, greatest(q.ts, s.start + INTERVAL 5400 SECOND) FROM s JOIN q ON q.host = s.host AND q.i = s.i + 1
+) SELECT event_id, host, start FROM s""")
+def host_start_times(spark, sf_dir):
+    return schedule.start_times(view(spark, sf_dir, _REQUESTS), "host", "ts", "event_id", 5400, 86_400).select("event_id", "host", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+@query("""SELECT 'run-1' AS run_id, s AS stage, count(*) AS n_rows, count(*) FILTER (NOT e AND NOT k) AS ok, count(*) FILTER (e) AS errors, count(*) FILTER (k AND NOT e) AS skipped FROM (
+SELECT c_mktsegment AS s, coalesce(c_acctbal < 0, false) AS e, c_nationkey % 3 = 0 AS k FROM customer) GROUP BY s""")
+def stage_run_log(spark, sf_dir):
+    folder = new_folder(spark, "stages")
+    rows = view(spark, sf_dir, "SELECT * FROM {customer}")
+    for stage in [r[0] for r in rows.select("c_mktsegment").distinct().collect()]:  # a stage for each of the few segments
+        runlog.write_counted(rows.where(F.col("c_mktsegment") == stage), f"{folder}/{stage}", stage, "run-1", f"{folder}/log", F.col("c_acctbal") < 0, F.col("c_nationkey") % 3 == 0)
+    return runlog.run_log(spark, f"{folder}/log")

@@ -80,7 +80,7 @@ def contacts(elements: DataFrame, key: str) -> DataFrame:
         rows(a, "phone", one("(?i)^tel:(.*)$"), 0), rows(body, "phone", every(strings.MOBILE, 1), 1),
         rows(a, "email", one("(?i)^mailto:([^?]*)"), 0), rows(body, "email", every(strings.EMAIL, 0), 1),
         rows(a, "whatsapp", one(r"(?i)(?:wa\.me/|whatsapp\.com/send\?phone=)\+?([0-9]+)"), 0),
-        rows(a, "instagram", one(r"(?i)instagram\.com/(?!share\b|p\b)([A-Za-z0-9_.]+)"), 0), rows(a, "facebook", one(r"(?i)facebook\.com/(?!(?:share|sharer|dialog)\b)([A-Za-z0-9_.]+)"), 0),
+        rows(a, "instagram", one(r"(?i)instagram\.com/(?!(?:share|p)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0), rows(a, "facebook", one(r"(?i)facebook\.com/(?!(?:share|sharer|dialog)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0),
     ]
     out = found[0]
     for f in found[1:]:

@@ -40,10 +40,10 @@ def contact_owner(contacts: DataFrame) -> DataFrame:
 
     A provider's number (owner ``places`` already) keeps its owner, but counts as shown by its site.
     """
-    shared = contacts.where(F.col("key") != "").groupBy("kind", "key").agg(F.count_distinct("domain").alias("domains"))
+    shared = contacts.where(F.col("key") != "").groupBy("kind", "key").agg((F.min("domain") != F.max("domain")).alias("several"))
     owner = F.when(F.col("owner") == "places", F.col("owner")) if "owner" in contacts.columns else F
-    owner = owner.when(F.coalesce(F.col("domains") > 1, F.lit(False)), "agency").when(F.coalesce(F.contains(F.col("credit"), F.col("value")), F.lit(False)), "agency").otherwise("business")
-    return contacts.join(shared, ["kind", "key"], "left").withColumn("owner", owner).drop("domains")
+    owner = owner.when(F.coalesce("several", F.lit(False)), "agency").when(F.coalesce(F.contains(F.col("credit"), F.col("value")), F.lit(False)), "agency").otherwise("business")
+    return contacts.join(shared, ["kind", "key"], "left").withColumn("owner", owner).drop("several")
 
 
 def agency_table(credits: DataFrame) -> DataFrame:

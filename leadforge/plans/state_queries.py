@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from leadforge.functions import suffixes, urls
 from leadforge.operators import classify, phrasebook, schedule
 from leadforge.plans.views import duck, view
-from leadforge.sources import recorded, runlog
+from leadforge.sources import html_table, outputs, recorded, runlog
 from leadforge.sources.keyed import KeyedTable
+from leadforge.sources.lead_store import LeadStore
 from leadforge.sources.shared import new_folder
 from leadforge.streaming import marks, resume
 
@@ -168,3 +169,49 @@ def stage_run_log(spark, sf_dir):
     for stage in [r[0] for r in rows.select("c_mktsegment").distinct().collect()]:  # a stage for each of the few segments
         runlog.write_counted(rows.where(F.col("c_mktsegment") == stage), f"{folder}/{stage}", stage, "run-1", f"{folder}/log", F.col("c_acctbal") < 0, F.col("c_nationkey") % 3 == 0)
     return runlog.run_log(spark, f"{folder}/log")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<img'))::BIGINT AS images, len(regexp_extract_all(html, '<a[ >]'))::BIGINT AS anchors,
+len(list_distinct(list_filter(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1), lambda h: starts_with(h, '/'))))::BIGINT AS inner_addresses FROM pages""")
+def elements_in_sql(spark, sf_dir):
+    html_table.register(spark)
+    return view(spark, sf_dir, """
+SELECT p.page_id, count_if(e.tag = 'img') AS images, count_if(e.tag = 'a') AS anchors, count(DISTINCT CASE WHEN e.tag = 'a' AND startswith(e.attrs['href'], '/') THEN e.attrs['href'] END) AS inner_addresses
+FROM {pages} p, LATERAL html_elements(p.html, 'tag,attrs') e GROUP BY p.page_id""")
+
+
+@query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT page_id, count(DISTINCT regexp_replace(href, '#.*$', '')) AS links FROM a GROUP BY page_id)
+SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<meta[^>]*name="viewport"') THEN 'present' ELSE 'missing' END AS viewport,
+CASE WHEN regexp_matches(html, '<form') THEN 'contact form' ELSE 'none' END AS "quoteForm", coalesce(links, 0) AS links FROM pages LEFT JOIN l USING (page_id)""")
+def page_outputs(spark, sf_dir):
+    out = outputs.write_outputs(view(spark, sf_dir, "SELECT page_id, url, html FROM {pages}"), new_folder(spark, "outputs"))
+    links = out.links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return out.signals.join(links, "page_id", "left").select("page_id", "viewport", "quoteForm", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+#: Two runs of a report over customers: the second scores only some of them anew and finds other names.
+_RUNS = """
+SELECT concat('site', c_custkey, '.in') AS domain, c_mktsegment AS vertical, concat(c_name, CASE WHEN r = 2 THEN ' Ltd' ELSE '' END) AS name, c_custkey % 5 AS review_count, r,
+  concat('run-', CASE WHEN c_nationkey % 2 = 0 THEN 1 ELSE r END) AS run_id, CAST(floor(c_acctbal) AS BIGINT) + r AS score, c_custkey % 3 = 0 AS mobile, c_custkey % 4 = 0 AS secure
+FROM {customer}, (SELECT 1 AS r UNION ALL SELECT 2) runs WHERE r = 1 OR c_custkey % 2 = 0
+"""
+
+
+@query(f"""WITH d AS ({_RUNS}), b AS (SELECT domain, arg_min(name, r) AS name FROM d GROUP BY domain),
+s AS (SELECT domain, run_id, arg_max(score, r) AS score, any_value(mobile) AS mobile, any_value(secure) AS secure FROM d GROUP BY domain, run_id),
+v AS (SELECT 'site' || doc_id || '.in' AS domain, CASE WHEN toxic = 1 THEN 'X' ELSE 'A' END AS human_tier, quality AS pitch FROM labels)
+SELECT s.domain, name, run_id, score, CASE WHEN mobile AND secure THEN '["mobile","https"]' WHEN mobile THEN '["mobile"]' WHEN secure THEN '["https"]' ELSE '[]' END AS flaws, human_tier, pitch::INTEGER AS pitch
+FROM s JOIN b USING (domain) LEFT JOIN v USING (domain)""")
+def lead_store(spark, sf_dir):
+    store = LeadStore(spark, new_folder(spark, "store"), buckets=4)
+    rows = view(spark, sf_dir, _RUNS)
+    marks = view(spark, sf_dir, "SELECT concat('site', doc_id, '.in') AS domain, CASE WHEN toxic = 1 THEN 'X' ELSE 'A' END AS human_tier, quality = 1 AS pitch, '' AS note, '2024' AS reviewed_at FROM {labels}")
+    store.review(marks)
+    flaws = F.array_compact(F.array(F.when(F.col("mobile"), F.lit("mobile")), F.when(F.col("secure"), F.lit("https"))))
+    for r in (1, 2):
+        run = rows.where(F.col("r") == r)
+        store.write("businesses", run)
+        store.write("scores", run.withColumn("flaws", flaws))
+    scores = store.read("scores").join(store.read("businesses").select("domain", "name"), "domain")
+    return scores.join(store.read("reviews"), "domain", "left").select("domain", "name", "run_id", "score", "flaws", "human_tier", "pitch")

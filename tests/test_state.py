@@ -6,10 +6,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leadforge.sources import recorded
+from leadforge.sources import html_table, outputs, recorded
 from leadforge.sources.keyed import KeyedTable
+from leadforge.sources.lead_store import LeadStore
 from leadforge.streaming import marks, resume
 
+MARK = "domain string, human_tier string, pitch boolean, note string, reviewed_at string"
+
 
 def lines(folder, *texts):
     os.makedirs(folder, exist_ok=True)
@@ -130,3 +133,47 @@ def test_a_stage_does_new_files_only_and_passes_finished_rows_through(spark, tmp
     assert run() == 1 and run() == 0
     rows = [(r["n"], r["verdict"], r["note"]) for r in resume.in_first_order(spark, f"file://{tmp_path}/out", "n").collect()]
     assert rows == [(1, "done", None), (2, "worked", "was 2"), (3, "worked", "was 3")]
+
+
+def test_stages_never_write_reviews_and_lists_are_json(spark, tmp_path):
+    store = LeadStore(spark, f"file://{tmp_path}/db", buckets=2)
+    store.review(spark.createDataFrame([("a.in", "A", True, "", "2024-01"), ("a.in", "B", None, "x", "2024-02")], MARK))
+    store.review(spark.createDataFrame([("a.in", "C")], "domain string, human_tier string").selectExpr("*", "'2024-03' AS reviewed_at"))
+    assert [tuple(r) for r in store.read("reviews").collect()] == [("a.in", "C", 0, "x", "2024-03")]
+    with pytest.raises(ValueError, match="do not write reviews"):
+        store.write("reviews", spark.range(1))
+    agency = spark.createDataFrame([("g.in", ["9,000", "1"], 3, "extra"), ("h.in", None, 0, "extra")], "domain string, pricing array<string>, portfolio_clients int, other string")
+    store.write("agencies", agency)
+    assert sorted(tuple(r) for r in store.read("agencies").collect()) == [("g.in", None, '["9,000","1"]', 3, None), ("h.in", None, None, 0, None)]
+    store.write("businesses", spark.createDataFrame([("a.in", "first")], "domain string, name string"))
+    store.write("businesses", spark.createDataFrame([("a.in", "second"), ("b.in", "new")], "domain string, name string"))
+    assert sorted((r["domain"], r["name"]) for r in store.read("businesses").collect()) == [("a.in", "first"), ("b.in", "new")]
+
+
+def test_outputs_come_from_one_parse(spark, tmp_path):
+    pages = [
+        (1, "https://www.one.in/", '<body><a href="tel:+919876512345">call</a><a href="https://instagram.com/p.studio">i</a><a href="/x?p=1#top">x</a><form action="/f" method="post"></form></body>'),
+        (2, "https://two.in/", '<body>9876512345 <a href="https://instagram.com/p/abc">post</a><a href="https://facebook.com/share.in?x">f</a> hello@two.in</body>'), (3, "https://three.in/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string").withColumn("kind", F.lit("clash"))
+    plan = outputs.tagged(df, "page_id", "html")._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[1].count("MapInPandas") == 1
+    out = outputs.write_outputs(df, f"file://{tmp_path}/out")
+    assert sorted((r["page_id"], r["quoteForm"]) for r in out.signals.collect()) == [(1, "contact form"), (2, "none")]
+    assert out.links.where("page_id = 1 AND kind = 'internal'").select("href").head()[0] == "https://www.one.in/x?p=1"
+    owned = {(r["domain"], r["kind"], r["key"]): r["owner"] for r in out.owned.collect()}
+    assert owned == {
+        ("one.in", "phone", "9876512345"): "agency", ("two.in", "phone", "9876512345"): "agency", ("one.in", "instagram", "p.studio"): "business",
+        ("two.in", "facebook", "share.in"): "business", ("two.in", "email", "hello@two.in"): "business",
+    }
+
+
+def test_html_elements_as_a_table_function(spark):
+    html_table.register(spark)
+    spark.createDataFrame([(1, "<p>x<a href='/u'>y</a>"), (2, None), (3, "")], "k int, html string").createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT k, e.* FROM some_pages, LATERAL html_elements(html, 'tag,pos') e ORDER BY k, pos")
+    assert rows.columns == ["k", "tag", "pos"] and [tuple(r) for r in rows.collect()] == [(1, "p", 0), (1, "a", 1)]
+    every = spark.sql("SELECT e.* FROM some_pages, LATERAL html_elements(html) e WHERE tag = 'a'").head()
+    assert every["attrs"] == {"href": "/u"} and every["text"] == "y"
+    with pytest.raises(Exception, match="unknown columns"):
+        spark.sql("SELECT * FROM html_elements('<p>', 'nothing')").collect()

@@ -2,10 +2,10 @@
 
 Texts lose upper-case A-Z and are split into pieces and words in tasks; a word is the 64-bit hash of its bytes from there on (two frequent
 words of a language with one hash are an error that names the remedy, another ``multiplier``). Words and pairs are counted by hash with sums
-before the shuffle; a word or pair that is too rare abandons every suffix that it leads. What is left of a suffix, at most ``longest`` words, is
+before the shuffle, and so are runs of two and three words; one that is too rare abandons every suffix that it leads. What is left of a suffix, at most ``longest`` words, is
 routed by its language and three leading words, equal suffixes of a task as one row with a count. Each task sorts pointers to its suffixes by
 multikey three-way quicksort: the part equal to a pivot at some depth is one phrase and its weight is the phrase's count; parts lighter than
-``least`` are abandoned unsorted. Tasks drop what is rare with the help of two bit maps of fixed size (2 and 4 MB, whatever the data); a full map spares
+``least`` are abandoned unsorted. Tasks drop what is rare with the help of bit maps of fixed size (2 and 4 MB, whatever the data); a full map spares
 less, and results stay exact.
 
 Edge cases: a null text counts as empty, a null language as ``und``. Bytes that are not UTF-8 do not occur in Spark strings. Repeated rows count
@@ -35,8 +35,8 @@ LOWER[65:91] += 32
 BREAK = re.compile(r"[.,;:!?\n-\r]")
 #: Characters that are split at once: some 100 MB of whole numbers.
 CHUNK = 1 << 20
-#: Bits of the maps of frequent words and pairs.
-WORD_BITS, PAIR_BITS = 24, 25
+#: Bits of the maps of frequent words, and of frequent pairs and triples.
+WORD_BITS, RUN_BITS = 24, 25
 #: Different rows that a task gathers before it passes them on: some 50 MB.
 GATHERED = 1_000_000
 #: Suffix rows of one sorting task, about.
@@ -193,40 +193,48 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "lang string, h1 bigint, word string, f bigint").groupBy("lang", "h1").agg(F.min("word").alias("word"), F.max("word").alias("other"), F.sum("f").alias("f"))
 
 
-def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(lang, h1, h2, f) of pairs of words that the map marks."""
+def known_runs(h: np.ndarray, n: int, known: np.ndarray, lang: str) -> np.ndarray:
+    """Whether the ``n`` words from each place on are within a piece and marked."""
+    columns = [h[i : len(h) - n + 1 + i] for i in range(n)]
+    out = np.logical_and.reduce([c != 0 for c in columns])
+    at = out.nonzero()[0]
+    out[at] = marked(known, slots([c[at] for c in columns], lang, WORD_BITS if n == 1 else RUN_BITS))
+    return out
+
+
+def run_counts(docs: DataFrame, n: int, known: np.ndarray) -> DataFrame:
+    """(lang, h1 .. hn, f) of runs of ``n`` words, whose first and last ``n`` - 1 words the map marks."""
+    names = [f"h{i}" for i in range(1, n + 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = Gatherer(["h1", "h2"])
+        held = Gatherer(names)
         for pdf in batches:
             for lang, texts in by_language(pdf):
-                h = tokens(texts)[0]
-                some = (h != 0) & marked(words, slots([h], lang, WORD_BITS))
+                h = np.concatenate((tokens(texts)[0], np.zeros(n, np.int64)))
+                some = known_runs(h, n - 1, known, lang)
                 at = (some[:-1] & some[1:]).nonzero()[0]
-                held.add(lang, [h[at], h[at + 1]])
+                held.add(lang, [h[at + i] for i in range(n)])
             yield from held.full()
         yield from held.out()
 
-    return docs.mapInPandas(run, "lang string, h1 bigint, h2 bigint, f bigint").groupBy("lang", "h1", "h2").agg(F.sum("f").alias("f"))
+    return docs.mapInPandas(run, f"lang string, {', '.join(f'{c} bigint' for c in names)}, f bigint").groupBy("lang", *names).agg(F.sum("f").alias("f"))
 
 
-def suffixes(docs: DataFrame, pairs: np.ndarray, longest: int) -> DataFrame:
-    """(lang, h1 .., f): suffixes of pieces whose first two pairs are marked, cut at ``longest`` words and before the first pair that is not; 0 after the end."""
+def suffixes(docs: DataFrame, triples: np.ndarray, longest: int) -> DataFrame:
+    """(lang, h1 .., f): suffixes of pieces whose first three words are marked, cut at ``longest`` words and before the first three that are not; 0 after the end."""
     names = [f"h{i}" for i in range(1, longest + 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Gatherer(names)
         for pdf in batches:
             for lang, texts in by_language(pdf):
-                h = np.concatenate((tokens(texts)[0], np.zeros(longest, np.int64)))
-                some = (h[:-1] != 0) & (h[1:] != 0)
+                h = np.concatenate((tokens(texts)[0], np.zeros(2 * longest, np.int64)))
+                some = known_runs(h, 3, triples, lang)
                 at = some.nonzero()[0]
-                some[at] = marked(pairs, slots([h[at], h[at + 1]], lang, PAIR_BITS))
-                at = (some[:-1] & some[1:]).nonzero()[0]
-                columns, goes_on = [h[at], h[at + 1], h[at + 2]], np.ones(len(at), bool)
+                columns, goes_on = [h[at + k] for k in range(3)], np.ones(len(at), bool)
                 for k in range(3, longest):
-                    goes_on = goes_on & some[np.minimum(at + k - 1, len(some) - 1)]
-                    columns.append(np.where(goes_on, h[np.minimum(at + k, len(h) - 1)], 0))
+                    goes_on = goes_on & some[at + k - 2]
+                    columns.append(np.where(goes_on, h[at + k], 0))
                 held.add(lang, columns)
             yield from held.full()
         yield from held.out()
@@ -280,8 +288,9 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     docs = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[lang_col], F.lit("und")).alias("lang"))
     clash = F.when((F.col("word") != F.col("other")) & (F.col("h1") != 0), F.raise_error(F.lit("two words have one hash: take another multiplier"))).otherwise(F.col("word"))
     words = stored(word_counts(docs).where((F.col("f") >= least) | (F.col("h1") == 0)).select("lang", "h1", clash.alias("word"), "f"), "words")
-    pairs = stored(pair_counts(docs, bit_map(words.where("h1 <> 0"), ["h1"], WORD_BITS)).where(F.col("f") >= least), "pairs")
-    tails = stored(suffixes(docs, bit_map(pairs, ["h1", "h2"], PAIR_BITS), longest), "suffixes")
+    pairs = stored(run_counts(docs, 2, bit_map(words.where("h1 <> 0"), ["h1"], WORD_BITS)).where(F.col("f") >= least), "pairs")
+    triples = stored(run_counts(docs, 3, bit_map(pairs, ["h1", "h2"], RUN_BITS)).where(F.col("f") >= least), "triples")
+    tails = stored(suffixes(docs, bit_map(triples, ["h1", "h2", "h3"], RUN_BITS), longest), "suffixes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tails.count() // SORTED))
     longer = long_phrases(tails.repartition(parts, "lang", "h1", "h2", "h3"), least, longest)
     found = words.where("h1 <> 0").select("lang", F.array("h1").alias("hs"), "f").unionByName(pairs.select("lang", F.array("h1", "h2").alias("hs"), "f")).unionByName(longer)

@@ -189,10 +189,14 @@ def tier_share(leads: DataFrame) -> DataFrame:
 
 
 def checked_marks(marks: DataFrame, businesses: DataFrame, scores: DataFrame) -> DataFrame:
-    """Marks with ``error``: bad domain, tier, or unknown domain (in neither relation); null where a mark can be stored."""
+    """Marks with ``error``: bad domain, tier, pitch (JSON text in ``pitch_json``, where a mark has it), or unknown domain (in neither relation); null where a mark can be stored."""
     known = businesses.select("domain").unionByName(scores.select("domain")).where(F.col("domain").isNotNull()).distinct().withColumn("_known", F.lit(True))
     good = F.col("domain").rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$")
-    error = F.when(~F.coalesce(good, F.lit(False)), "Invalid domain").when(F.col("human_tier").isNotNull() & ~F.col("human_tier").isin(*TIERS), "human_tier must be A|B|C|X|null").when(F.col("_known").isNull(), "Unknown domain")
+    # fixed values: the texts of the errors
+    error = F.when(~F.coalesce(good, F.lit(False)), "Invalid domain").when(F.col("human_tier").isNotNull() & ~F.col("human_tier").isin(*TIERS), "human_tier must be A|B|C|X|null")
+    if "pitch_json" in marks.columns:
+        error = error.when(F.col("pitch_json").isNotNull() & ~F.trim("pitch_json").isin("true", "false"), "pitch must be boolean")
+    error = error.when(F.col("_known").isNull(), "Unknown domain")
     return marks.join(known, "domain", "left").withColumn("error", error).drop("_known")
 
 
@@ -202,7 +206,8 @@ def archive_years(snapshots: DataFrame) -> DataFrame:
 
 
 def dead_links(links: DataFrame, statuses: DataFrame, key: str, most: int = 40) -> DataFrame:
-    """Links of a site by kind, and how many of its first internal ones answered with an error."""
+    """Links of a site by kind, and how many of its first internal ones answered with an error; of several statuses of an address the largest counts."""
+    statuses = statuses.groupBy("href").agg(F.max("status").alias("status"))
     place = F.row_number().over(W.partitionBy(key).orderBy(F.col("kind") != "internal", "pos"))
     asked = links.withColumn("_asked", (F.col("kind") == "internal") & (place <= most)).join(statuses, "href", "left")
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("internal", "external", "social")]

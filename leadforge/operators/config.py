@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadforge.functions.numbers import text
 
@@ -27,8 +28,16 @@ class Angle:
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file with an array of objects."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """A JSON file with an array of objects. A row without an ``ordinal`` takes its place in the file, since first matches win."""
+    kind = T.StructType.fromDDL(schema)
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", T.ArrayType(kind))).alias("_place", "_row"))
+    return rows.select(*(F.coalesce(F.col("_row.ordinal"), F.col("_place")).alias("ordinal") if c == "ordinal" else F.col(f"_row.{c}").alias(c) for c in kind.names))
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON file with one object as (ordinal, key, value) in the file's order; keys that begin with an underscore are notes."""
+    entries = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "map<string,string>")).alias("ordinal", "key", "value"))
+    return entries.where(~F.col("key").startswith("_"))
 
 
 def _rows(table: DataFrame) -> list:

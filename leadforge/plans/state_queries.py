@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadforge.functions import suffixes, urls
-from leadforge.operators import classify, phrasebook, schedule
+from leadforge.operators import assembly, classify, config, phrasebook, schedule
 from leadforge.plans.views import duck, view
-from leadforge.sources import html_table, outputs, recorded, runlog
+from leadforge.sources import document, html_table, outputs, recorded, runlog
 from leadforge.sources.keyed import KeyedTable
 from leadforge.sources.lead_store import LeadStore
 from leadforge.sources.shared import new_folder
@@ -215,3 +215,41 @@ def lead_store(spark, sf_dir):
         store.write("scores", run.withColumn("flaws", flaws))
     scores = store.read("scores").join(store.read("businesses").select("domain", "name"), "domain")
     return scores.join(store.read("reviews"), "domain", "left").select("domain", "name", "run_id", "score", "flaws", "human_tier", "pitch")
+
+
+#: Marks as requests send them: the pitch is JSON, which may be anything.
+_SENT = """
+SELECT concat(CASE WHEN doc_id % 29 = 0 THEN 'Bad Site' ELSE 'site' END, doc_id, '.in') AS domain, CASE WHEN doc_id % 31 = 0 THEN 'D' WHEN doc_id % 3 = 0 THEN 'A' END AS human_tier,
+  CASE doc_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN ' false' WHEN 2 THEN '1' WHEN 3 THEN '"true"' WHEN 4 THEN 'null' END AS pitch_json FROM {labels}
+"""
+
+
+@query(f"""WITH n AS ({_SENT}), z AS (SELECT 'site' || c_custkey || '.in' AS domain FROM customer)
+SELECT domain, human_tier, CASE WHEN starts_with(domain, 'Bad') THEN 'Invalid domain' WHEN human_tier = 'D' THEN 'human_tier must be A|B|C|X|null' WHEN trim(pitch_json) NOT IN ('true', 'false') THEN 'pitch must be boolean'
+WHEN domain NOT IN (SELECT domain FROM z) THEN 'Unknown domain' END AS error FROM n""")
+def sent_mark_checks(spark, sf_dir):
+    known = view(spark, sf_dir, "SELECT concat('site', c_custkey, '.in') AS domain FROM {customer}")
+    return assembly.checked_marks(view(spark, sf_dir, _SENT), known, known.limit(0)).select("domain", "human_tier", "error")
+
+
+@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INTEGER AS ordinal, lower(s_name) AS key, s_name || ' & Sons' AS value FROM supplier")
+def config_map(spark, sf_dir):
+    """Suppliers as an alias file of one JSON object, read back in its order."""
+    path = new_folder(spark, "aliases")
+    rows = view(spark, sf_dir, "SELECT lower(s_name) AS key, concat(s_name, ' & Sons') AS value, s_suppkey AS k FROM {supplier}")
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("k", "key", "value"))), lambda e: F.struct(e["key"], e["value"]))
+    note = F.array(F.struct(F.lit("_note").alias("key"), F.lit("not an alias").alias("value")))
+    rows.agg(F.to_json(F.map_from_entries(F.concat(entries, note))).alias("value")).write.text(path)  # a configuration is one small file
+    return config.read_map(spark, path)
+
+
+_INDEX = "SELECT concat('site', c_custkey, '.in') AS domain, c_custkey % 83 AS score, CASE WHEN c_custkey % 7 <> 0 THEN concat(c_name, ' \"x\", é') END AS name FROM {customer}"
+
+
+@query(f"WITH l AS ({_INDEX}) SELECT (row_number() OVER (ORDER BY score DESC, domain) - 1)::INTEGER AS place, domain, score, name FROM l")
+def index_json(spark, sf_dir):
+    """The index as one document, read back: the place of each lead in it."""
+    path = f"{new_folder(spark, 'index')}/index.json"
+    document.write_document(view(spark, sf_dir, _INDEX), path, [F.desc("score"), F.col("domain")], head={"city": "Coimbatore"})
+    whole = spark.read.schema("city string, leads array<struct<domain: string, score: bigint, name: string>>").json(path, multiLine=True)
+    return whole.select(F.posexplode("leads").alias("place", "l")).select("place", "l.*")

@@ -1,5 +1,6 @@
 """Phrase automaton, suffix rules, start times and counted stages against plain versions."""
 
+import json
 import random
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ from leadforge.operators import config
 from leadforge.operators.phrasebook import canonical_names, first_phrase
 from leadforge.operators.schedule import start_times
 from leadforge.sources import runlog
+from leadforge.sources.document import write_document
 
 
 def test_automaton_equals_a_chain_of_conditions(spark):
@@ -73,3 +75,25 @@ def test_counts_come_from_the_write_itself(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert runlog.write_counted(df.limit(0), f"{tmp_path}/r3", "score", "r3", f"{tmp_path}/log", F.col("e"), F.col("id") < 15)["n_rows"] == 0
     assert sorted(tuple(r) for r in runlog.run_log(spark, f"{tmp_path}/log").collect()) == [("r1", "score", 100, 77, 10, 13), ("r2", "score", 100, 77, 10, 13), ("r3", "score", 0, 0, 0, 0)]
+
+
+def test_configuration_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "angles.json").write_text('[\n {"key": "z", "when": ["https"], "guard": "expired", "text": "Zed."},\n {"key": "a", "when": [], "text": "Last."}\n]')
+    found = config.angles(config.read_rows(spark, str(tmp_path / "angles.json"), config.ANGLES))
+    assert [(a.key, a.when, a.guard) for a in found] == [("z", ("https",), "expired"), ("a", (), None)]
+    (tmp_path / "aliases.json").write_text('{\n "_note": "raw -> name",\n "web solns": "Web Solutions",\n "web": "Other",\n "ab": "A B"}')
+    assert config.pairs(config.read_map(spark, str(tmp_path / "aliases.json"))) == [("web solns", "Web Solutions"), ("web", "Other"), ("ab", "A B")]
+
+
+def test_document_is_sorted_and_parses(spark, tmp_path):
+    path = tmp_path / "out" / "index.json"
+    df = spark.range(5_000).selectExpr("concat('d', id) AS domain", "id % 50 AS score", "if(id % 3 = 0, null, 'é \"q\"\n') AS name")
+    order = [F.desc("score"), F.col("domain")]
+    write_document(df, f"file://{path}", order, head={"city": "C", "n": 5_000}, parts=7)
+    got = json.loads(path.read_text())
+    assert got["city"] == "C" and [(r["score"], r["domain"]) for r in got["leads"]] == sorted(((i % 50, f"d{i}") for i in range(5_000)), key=lambda r: (-r[0], r[1]))
+    assert got["leads"][0].keys() == {"domain", "score", "name"} and {r["name"] for r in got["leads"]} == {None, 'é "q"\n'}
+    write_document(df.limit(0), f"file://{path}", order)
+    assert json.loads(path.read_text()) == {"leads": []}
+    write_document(df.where("domain = 'd7'"), f"file://{path}", order)
+    assert len(json.loads(path.read_text())["leads"]) == 1 and [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == ["index.json"]

@@ -44,4 +44,4 @@ class HtmlElements:
 
 def register(spark: SparkSession) -> None:
     """Makes the function known to SQL of this session."""
-    spark.udtf.register(NAME, F.udtf(HtmlElements, useArrow=False))
+    spark.udtf.register(NAME, F.udtf(HtmlElements, useArrow=True))

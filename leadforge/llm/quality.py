@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, in native expressions only.
 
 Every rule's cost and selectivity are estimated on a sample; rules then run in falling order of
-rejections per second, and a row that one rule rejects is not shown to the next (``CASE WHEN``
+rejections per cost, and a row that one rule rejects is not shown to the next (``CASE WHEN``
 evaluates its branches in order and stops at the first hit). The order changes only how much is
-computed, never which rows stay, so reruns agree although costs are measured. The sample is of a few input
-files where the table is read from many; cost is the time of a repeated run over the stored sample, less that of a run without rules.
+computed, never which rows stay. The sample is of a few input files where the table is read from many. One job over it
+takes the time before and after each feature of each text; a rule costs the median times of the features that it has to compute, in
+powers of two, so that reruns agree. Features that are columns already cost nothing, and no rule costs less than FLOOR.
 
 The counts of the contract are needed for every row, so the verdict query computes them first and the
 cascade's lazy features (letters, bullets, ellipses) only for rows that nothing before them has rejected.
@@ -16,7 +17,7 @@ their names, because verdicts are computed from the text column alone.
 
 from __future__ import annotations
 
-import time
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ SYMBOLS = r"[#*$%&|<>]"
 LETTERS, BULLETS, ELLIPSES = r"\p{L}[^\x20\x09-\x0D]*", r"(^|\n)[\x20\x09]*[-*•]", r"(\.\.\.|…)[\x20\x09\x0D]*(\n|\z)"
 #: Input files that a sample is taken from, at most.
 SAMPLE_FILES = 8
+#: What any rule costs at least, in nanoseconds for a row: below it are comparisons of columns, which all cost the same.
+FLOOR = 1024
 #: A packed long holds 33 bits of a window's hash over 31 bits of its position.
 POSITION_BITS = 31
 
@@ -123,23 +126,43 @@ def sample_of(df: DataFrame, text: str, rows: int) -> DataFrame:
     return stored(some.sample(fraction=min(1.0, rows / total) if total else 1.0, seed=7).repartition(4), "sample")
 
 
-def _timed(sample: DataFrame, rules: list[Rule]) -> tuple[int, int, float]:
-    """Rejections, rows and seconds of a run over the sample; the first run, which compiles, is not timed."""
-    judged = first_rejection(sample, F.col("t"), rules).agg(F.count(VERDICT), F.count(F.lit(1)))
-    judged.collect()
-    began = time.perf_counter()
-    hit, n = judged.first()
-    return hit, n, time.perf_counter() - began
+def needed(rule: Rule) -> list[str]:
+    """Names of the features that a rule reads."""
+    read: list[str] = []
 
+    class Asked(dict):
+        def __missing__(self, name: str) -> Column:
+            read.append(name)
+            return F.lit(0)
 
-def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Rule]:
-    """Rules by rejections per second, as measured on about ``sample_rows`` rows."""
-    sample = sample_of(df, text, sample_rows)
-    idle, rated = _timed(sample, [])[2], []
-    for i, rule in enumerate(rules):
-        hit, n, seconds = _timed(sample, [rule])
-        rated.append((-hit / max(n, 1) / max(seconds - idle, 1e-4), i, rule))
-    return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
+    rule.rejects(Asked())
+    return sorted(set(read))
+
+
+def _clocked(value: Column) -> Column:
+    """struct(a, v, b): a value between the times before and after it. A struct's fields are evaluated in order, and one with a clock in it at once."""
+    now = lambda: F.expr("java_method('java.lang.System', 'nanoTime')").cast("long")
+    return F.struct(now().alias("a"), value.alias("v"), now().alias("b"))
+
+
+def measured(sample: DataFrame, rules: tuple[Rule, ...], known: tuple[str, ...] = ()) -> list[tuple[float, int]]:
+    """Share of rows rejected and nanoseconds for a row of each rule, from one job over ``sample`` (column t)."""
+    f = features(F.col("t"))
+    timed = sorted({n for r in rules for n in needed(r)} - set(known))
+    rows = sample.select("t", *(f[n].alias(n) for n in known)).select(*known, *(_clocked(f[n]).alias(n) for n in timed), _clocked(F.lit(0)).alias("_idle"))
+    value = {n: F.col(n) for n in known} | {n: F.col(n)["v"] for n in timed}
+    span = lambda n: F.percentile_approx(F.col(n)["b"] - F.col(n)["a"], 0.5)
+    hits = [F.avg(F.coalesce(r.rejects(value), F.lit(False)).cast("int")) for r in rules]
+    got = list(rows.agg(*hits, *map(span, [*timed, "_idle"])).first())
+    shares, spans = [x or 0.0 for x in got[: len(rules)]], dict(zip([*timed, "_idle"], (x or 0 for x in got[len(rules) :])))
+    costs = [sum(max(spans[n] - spans["_idle"], 0) for n in needed(r) if n in spans) for r in rules]
+    return [(share, 2 ** round(math.log2(max(cost, FLOOR)))) for share, cost in zip(shares, costs)]
+
+
+def cascade_order(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, known: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules by rejections per cost, as measured on about ``sample_rows`` rows; equals keep their order. ``known``: features that the cascade finds as columns."""
+    rated = measured(sample_of(df, text, sample_rows), rules, known)
+    return [rule for _, rule in sorted(zip(rated, rules), key=lambda x: -x[0][0] / x[0][1])]
 
 
 def first_rejection(df: DataFrame, text: Column, ordered: list[Rule], known: dict[str, Column] | None = None) -> DataFrame:
@@ -165,7 +188,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 def quality_verdicts(df: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = 2000) -> DataFrame:
     """Counts and verdict of each row: key, the counts, ``base_failed``, ``kept``."""
-    ordered = cascade_order(df, text, tuple(r for r in RULES if r not in BASE_RULES), sample_rows)
+    ordered = cascade_order(df, text, tuple(r for r in RULES if r not in BASE_RULES), sample_rows, COUNTS)
     f = features(F.col("t"))
     counted = df.select(df[key].alias(key), df[text].alias("t")).select(F.col(key), "t", *(f[n].alias(n) for n in COUNTS))
     known = {n: F.col(n) for n in COUNTS} | lazy_features(F.col("t"))

@@ -53,14 +53,19 @@ def release(spark: SparkSession) -> None:
     """Removes what this program has stored in the shared folder; tables that were read from it can't be read any more."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{SCRATCH}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, f"{root.rstrip('/')}/{SCRATCH}")
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of stored tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "stage", folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder (a new part of it, or ``folder``) and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    path = f"{folder or shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

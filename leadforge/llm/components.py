@@ -2,7 +2,7 @@
 
 Only edges move: no adjacency list is collected, minima are pre-aggregated and stored, so that the join
 back to the edges is a broadcast up to a counted size, and beyond it one of two plain shuffles, of which adaptive execution can split a hub; every round is
-stored in the shared folder. Rounds end when the edges no longer change.
+stored in the shared folder, and removed when the next one is. Rounds end when the edges no longer change.
 
 Defined cases: edges of a node to itself and repeated edges count for nothing; edges with a null end are
 left out; an empty table gives an empty result.
@@ -13,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadforge.llm.common import small, stored
+from leadforge.llm.common import remove, shared_dir, small, stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round of stars over edges (a, b)."""
+def _star(edges: DataFrame, large: bool, folder: str) -> DataFrame:
+    """One round of stars over edges (a, b); its minima are stored in ``folder``."""
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    least = small(stored(least, "least"))
+    least = small(stored(least, "large" if large else "small", folder))
     met = near.join(least, near["a"] == least["k"])
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,12 +34,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component."""
-    edges = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    folder = shared_dir(spark)
+    edges = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", folder)
     seen = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == seen:
             break
-        seen = mark
-        edges = stored(_star(_star(edges, True), False), "edges")
+        seen, before, folder = mark, folder, shared_dir(spark)
+        edges = stored(_star(_star(edges, True, folder), False, folder), "edges", folder)
+        remove(spark, before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

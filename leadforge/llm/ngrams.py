@@ -385,10 +385,13 @@ def mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[lead >> np.uint64(3)] >> (7 - (lead & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _sets(n: int, wanted):
+def _sets(n: int, wanted=None):
+    """Sets of texts; ``wanted``: a map of row keys, of which others are left out."""
+
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[mapped(wanted.value, pdf["row_key"].to_numpy())]
+            if wanted is not None:
+                pdf = pdf[mapped(wanted.value, pdf["row_key"].to_numpy())]
             for i in range(0, len(pdf), 500):
                 some = pdf.iloc[i : i + 500]
                 sets = list(gram_sets(some["text"].tolist(), n))
@@ -425,10 +428,14 @@ TASK = ["block", "low", "high", "side", "label", "node"]
 
 def _links(source: DataFrame, dealt: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that the tries of all tasks find; ``dealt``: row_key and the columns of TASK."""
-    # only the chosen rows' texts are turned into sets again; no text is shuffled
-    wanted = source.sparkSession.sparkContext.broadcast(key_map(dealt, "row_key"))
-    dealt = small(dealt, BROADCAST_ROWS)
-    sets = source.select("row_key", "text").mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
+    # only the chosen rows' texts are turned into sets again, and up to a counted number no others leave the scan; no text is shuffled
+    texts, wanted = source.select("row_key", "text"), None
+    if dealt.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(dealt.select("row_key").distinct()), "row_key", "left_semi")
+        dealt = F.broadcast(dealt)
+    else:
+        wanted = source.sparkSession.sparkContext.broadcast(key_map(dealt, "row_key"))
+    sets = texts.mapInPandas(_sets(n, wanted), "row_key bigint, made binary, grams binary")
     tasks = sets.join(dealt, "row_key").where(F.col("made") == F.col("node")).select(*TASK, "grams")
     tasks = tasks.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high")
     return stored(tasks.mapInPandas(_join(percent), "a binary, b binary"), "links")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MOBILE = r"(?:\+?91[ -]?)?0?([6-9][0-9]{9})"
+#: A number of the city, after its code.
+CITY_CODE = "422"
+LANDLINE = rf"(?<![0-9])(?:\+?91[ -]?)?0?{CITY_CODE}[ -]?([0-9]{{6,7}})\b"
 
 
 def phone_key(value: Column) -> Column:

@@ -19,6 +19,8 @@ SHOTS = ("mobile", "desktop", "full")
 #: Columns of the reports, in order.
 LEAD_COLUMNS = ("tier", "score", "vertical", "domain", "business", "address", "phone", "email", "rating", "reviews", "built_by", "pitch_angle")
 PITCH_COLUMNS = (*LEAD_COLUMNS, "your_tier", "note")
+#: The columns of the list that a reviewer saves without the service, in their order.
+SAVED_COLUMNS = ("domain", "business", "vertical", "address", "phone", "email", "rating", "reviews", "machine_tier", "score", "your_tier", "angle", "note", "agency")
 AGENCY_COLUMNS = ("agency", "domain", "built_in_run", "portfolio_clients", "published_pricing", "note")
 
 
@@ -141,6 +143,11 @@ def pitch_rows(leads: DataFrame, reviews: DataFrame) -> DataFrame:
     return lead_rows(leads).join(marks, "domain").select(*PITCH_COLUMNS)
 
 
+def saved_rows(leads: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Columns of the pitch list in its other form (SAVED_COLUMNS)."""
+    return pitch_rows(leads, reviews).withColumnsRenamed({"tier": "machine_tier", "pitch_angle": "angle", "built_by": "agency"}).select(*SAVED_COLUMNS)
+
+
 def agency_rows(agencies: DataFrame) -> DataFrame:
     """Columns of agencies.csv: published prices in one cell."""
     prices = F.concat_ws(" | ", F.transform("pricing", lambda p: F.concat_ws(" ", p["tier"], p["price"])))

@@ -98,4 +98,4 @@ def capitalised(plain: Column) -> Column:
 def theme_note(slug: Column, market: list[tuple[str, str]]) -> Column:
     """A theme's slug, with the name that the market list has for it."""
     table = F.create_map(*(F.lit(x) for kv in market for x in kv))
-    return F.when(slug.isNull() | (slug == ""), "none").otherwise(F.concat(slug, F.coalesce(F.concat(F.lit(" ("), F.try_element_at(table, slug), F.lit(")")), F.lit(""))))
+    return F.when(slug.isNull() | (slug == ""), "none").otherwise(F.concat(slug, F.coalesce(F.concat(F.lit(" ("), F.try_element_at(table, F.lower(slug)), F.lit(")")), F.lit(""))))

@@ -10,8 +10,8 @@ from leadforge.functions import strings, urls
 
 #: Fixed patterns of an agency's credit line, in order.
 CREDITS = (
-    r"(?i)(?:designed|developed|created|maintained|powered|crafted|built)\s*(?:&|and)?\s*(?:designed|developed|maintained)?\s*by\s*[:\-]?\s*([^\n]{2,60})",
-    r"(?i)website\s+by\s+([^\n]{2,60})", r"(?i)a\s+unit\s+of\s+([^\n]{2,60})",
+    r"(?i)(?:designed|developed|created|maintained|powered|crafted|built)\s*(?:&|and)?\s*(?:designed|developed|maintained)?\s*by\s*[:\-]?\s*(.{2,60})",
+    r"(?i)website\s+by\s+(.{2,60})", r"(?i)a\s+unit\s+of\s+(.{2,60})",
 )
 #: Mail domains that belong to no business.
 BAD_EMAIL_DOMAINS = ("example.com", "sentry.io", "wixpress.com", "cloudflare.com", "schema.org", "w3.org", "google.com", "googleapis.com")
@@ -59,32 +59,33 @@ def probe_queue(links_: DataFrame, key: str, most: int = 40) -> DataFrame:
 
 
 def agency_credits(elements: DataFrame, key: str) -> DataFrame:
-    """(key, name, raw_text): the first credit line of a footer."""
-    foot = elements.where((F.col("tag") == "footer") & (F.col("text") != ""))
+    """(key, name, raw_text): the first credit line of a footer, which is one by its tag or by a class or id that says so."""
+    named = F.coalesce(F.contains(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"]), F.lit("footer")), F.lit(False))
+    foot = elements.where(((F.col("tag") == "footer") | named) & (F.col("text") != ""))
     raw = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in CREDITS))
     name = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in CREDITS))
     return foot.where(name.isNotNull()).groupBy(key).agg(F.min_by(strings.tidy_name(name), "pos").alias("name"), F.min_by(F.trim(raw), "pos").alias("raw_text"))
 
 
 def contacts(elements: DataFrame, key: str) -> DataFrame:
-    """(key, kind, value, norm): phones, e-mails and profiles of a document, first of each in order tel/mailto, then body."""
+    """(key, kind, value, norm): phones, e-mails and profiles of a document, first of each in order tel/mailto, then body (mobiles before numbers of the city)."""
     href = F.coalesce(F.col("attrs")["href"], F.lit(""))
-    a, body = elements.where("tag = 'a'"), elements.where("tag = 'body'")
 
-    def rows(df: DataFrame, kind: str, values: Column, stage: int) -> DataFrame:
-        return df.select(key, F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), "pos", F.posexplode(values).alias("i", "value"))
+    def hits(tag: str, kind: str, values: Column, stage: int) -> Column:
+        made = F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), i.alias("i"), v.alias("value")))
+        return F.when(F.col("tag") == tag, made).otherwise(F.array().cast("array<struct<kind:string,stage:int,i:int,value:string>>"))
 
     one = lambda p, g=1: F.array_compact(F.array(F.nullif(F.regexp_extract(href, p, g), F.lit(""))))
     every = lambda p, g: F.regexp_extract_all("text", F.lit(p), F.lit(g))
+    city = F.transform(every(strings.LANDLINE, 1), lambda x: F.concat(F.lit(strings.CITY_CODE), x))
     found = [
-        rows(a, "phone", one("(?i)^tel:(.*)$"), 0), rows(body, "phone", every(strings.MOBILE, 1), 1),
-        rows(a, "email", one("(?i)^mailto:([^?]*)"), 0), rows(body, "email", every(strings.EMAIL, 0), 1),
-        rows(a, "whatsapp", one(r"(?i)(?:wa\.me/|whatsapp\.com/send\?phone=)\+?([0-9]+)"), 0),
-        rows(a, "instagram", one(r"(?i)instagram\.com/(?!(?:share|p)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0), rows(a, "facebook", one(r"(?i)facebook\.com/(?!(?:share|sharer|dialog)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0),
+        hits("a", "phone", one("(?i)^tel:(.*)$"), 0), hits("body", "phone", every(strings.MOBILE, 1), 1), hits("body", "phone", city, 2),
+        hits("a", "email", one("(?i)^mailto:([^?]*)"), 0), hits("body", "email", every(strings.EMAIL, 0), 1),
+        hits("a", "whatsapp", one(r"(?i)(?:wa\.me/|whatsapp\.com/send\?phone=)\+?([0-9]+)"), 0),
+        hits("a", "instagram", one(r"(?i)instagram\.com/(?!(?:share|p)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0), hits("a", "facebook", one(r"(?i)facebook\.com/(?!(?:share|sharer|dialog)(?:[/?#]|$))([A-Za-z0-9_.]+)"), 0),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    # one pass: elements that are parsed on the fly would be parsed again for each branch of a union
+    out = elements.where(F.col("tag").isin("a", "body")).select(key, "pos", F.explode(F.concat(*found)).alias("hit")).select(key, "pos", "hit.*")
     out = out.withColumn("norm", F.when(F.col("kind") == "phone", strings.phone_key(F.col("value"))).when(F.col("kind") == "email", strings.email_key(F.col("value"))).otherwise(F.col("value")))
     mail = F.col("kind") == "email"
     bad = (mail & (F.regexp_extract("norm", "@(.*)$", 1).isin(*BAD_EMAIL_DOMAINS) | F.col("norm").rlike(r"\.(png|jpg|jpeg|gif|webp|svg)$|^(?:do-?not-?|no-?)reply"))) | ((F.col("kind") == "phone") & ((F.length("norm") < 7) | F.col("norm").rlike("^[0-9]{6}$")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leadforge.functions.numbers import percent
 from leadforge.functions.strings import email_key, phone_key
+from leadforge.operators.config import canonical_name
 
 TIERS = ("A", "B", "C", "X")
 
@@ -46,6 +47,24 @@ def contact_owner(contacts: DataFrame) -> DataFrame:
     return contacts.join(shared, ["kind", "key"], "left").withColumn("owner", owner).drop("several")
 
 
+def agency_key(credit_domain: Column, name: Column) -> Column:
+    """What credits of one agency share: its domain, or else its name."""
+    return F.coalesce(F.nullif(credit_domain, F.lit("")), F.lower(name))
+
+
+def agency_directory(credits: DataFrame, aliases: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Agencies and their clients from (lead_no, domain, credit_name, credit_domain, raw_text), names resolved by their aliases.
+
+    Agencies (agency, name, domain, raw_text, built_in_run): name and text of the first lead. Clients (agency, domain): a row for
+    each site, not a list, since an agency may have built a third of all.
+    """
+    named = credits.withColumn("credit_name", canonical_name(F.col("credit_name"), aliases))
+    named = named.withColumn("agency", agency_key(F.col("credit_domain"), F.col("credit_name"))).where(F.col("agency").isNotNull())
+    first = lambda c: F.min_by(c, "lead_no").alias(c)
+    agencies = named.groupBy("agency").agg(first("credit_name"), F.max(F.nullif("credit_domain", F.lit(""))).alias("domain"), first("raw_text"), F.count(F.lit(1)).alias("built_in_run"))
+    return agencies.withColumnRenamed("credit_name", "name"), named.select("agency", "domain").distinct()
+
+
 def agency_table(credits: DataFrame) -> DataFrame:
     """Agencies from (lead_no, domain, credit_name, credit_domain): name from the first lead, count and clients."""
     key = F.coalesce("credit_domain", F.lower("credit_name"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadforge.functions.numbers import first_year
+from leadforge.operators.config import theme_note
 
 VERSION = r"([0-9]+\.[0-9]+(?:\.[0-9]+)?)"
 YEAR = "((?:19|20)[0-9]{2})"
@@ -111,9 +112,13 @@ def page_signals(elements: DataFrame, key: str, https: Column | None = None) ->
     )
 
 
-def with_capture(signals: DataFrame, year: int, today: str) -> DataFrame:
+def with_capture(signals: DataFrame, year: int, today: str, market: list[tuple[str, str]] | None = None) -> DataFrame:
     """Signals with what the capture measured: reads columns overflow_px, tap_targets, lcp_ms, transfer_bytes, videos
-    (array of struct(url, bytes)), broken (array of url), wayback_first, https_ok, cert_expires (date), final_url."""
+    (array of struct(url, bytes)), broken (array of url), wayback_first, https_ok, cert_expires (date), final_url.
+
+    Two further columns go before what the page shows, where the table has them and they are not null: ``viewport_meta`` (boolean) and ``redesigned_given``.
+    ``market``: theme slugs (lower-case) with the market that sells them.
+    """
     none = F.lit("none")
     first_seen, made = first_year(F.col("wayback_first")), first_year(F.col("copyright"))
     age = year - first_seen
@@ -122,10 +127,14 @@ def with_capture(signals: DataFrame, year: int, today: str) -> DataFrame:
     secure = F.coalesce(F.col("final_url").startswith("https"), F.lit(False)) & F.coalesce(F.col("https_ok"), F.lit(False))
     expired = F.coalesce(F.col("cert_expires") < F.to_date(F.lit(today)), F.lit(False))
     dead_images = F.size(F.filter(F.coalesce("broken", F.array().cast("array<string>")), lambda u: u.rlike(r"(?i)\.(jpg|jpeg|png|gif|webp|svg|ico|bmp)") | u.contains("image")))
+    given = lambda c, value: F.coalesce(F.col(c).cast("string"), value) if c in signals.columns else value
+    redesigned = F.when(first_seen.isNull(), "n/a").when(made > first_seen + 1, made.cast("string")).otherwise("never")
+    viewport = F.when(F.col("viewport_meta"), "present").when(~F.col("viewport_meta"), "missing").otherwise(F.col("viewport")) if "viewport_meta" in signals.columns else F.col("viewport")
     return signals.withColumns({
+        "theme": theme_note(F.col("theme"), market) if market else F.col("theme"), "viewport": viewport,
         "wayback": F.coalesce(F.col("wayback_first").cast("string"), none),
         "domainAge": F.when(first_seen.isNull(), none).when(age < 1, F.concat((age * 12).cast("string"), F.lit(" mo"))).otherwise(F.concat(age.cast("string"), F.lit(" yr"))),
-        "redesigned": F.when(first_seen.isNull(), "n/a").when(made > first_seen + 1, made.cast("string")).otherwise("never"),
+        "redesigned": given("redesigned_given", redesigned),
         "overflow": F.when(F.coalesce("overflow_px", F.lit(0)) == 0, "0px").otherwise(F.concat(F.lit("+"), F.col("overflow_px").cast("string"), F.lit("px"))),
         "tapTargets": F.concat(F.coalesce("tap_targets", F.lit(0)).cast("string"), F.lit(" under 44px")),
         "lcp": F.when(F.coalesce("lcp_ms", F.lit(0.0)) == 0, none).otherwise(F.concat(one(F.col("lcp_ms") / 1000), F.lit("s"))),

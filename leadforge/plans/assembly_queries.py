@@ -134,6 +134,15 @@ def pitch_csv(spark, sf_dir):
     return rows.select("domain", assembly.csv_line(rows).alias("line"))
 
 
+_SAVED_CELLS = ("domain", "name", "vertical", "address", "phone", "email", "rating", "reviews", "tier", "score", "human_tier", "pitch_angle", "note", "coalesce(agency_name, '')")
+
+
+@query(_WITH + f"SELECT domain, {_quoted(*_SAVED_CELLS)} AS line FROM lead JOIN m USING (domain) WHERE pitch")
+def saved_pitch_csv(spark, sf_dir):
+    rows = assembly.saved_rows(leads(spark, sf_dir), view(spark, sf_dir, MARKS))
+    return rows.select("domain", assembly.csv_line(rows).alias("line"))
+
+
 def agencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agencies of the credits, with published prices of some."""
     own = leads(spark, sf_dir).where("agency IS NOT NULL").select(F.col("agency.name").alias("name"), F.coalesce("agency.domain", F.lower("agency.name")).alias("domain"))

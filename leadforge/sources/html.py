@@ -33,6 +33,7 @@ class _Elements(HTMLParser):
         self.of_tag: Counter[str] = Counter()
         self.landmarks: list[str] = []
         self.pieces: list[str] = []
+        self.footers: set[int] = set()  # rows that name themselves footers
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "a":  # anchors do not nest
@@ -42,6 +43,8 @@ class _Elements(HTMLParser):
         if tag == "a" and self.open:
             self.open[-1][3].append(row)
         if tag not in VOID:
+            if any(k in ("class", "id") and "footer" in (v or "") for k, v in attrs):
+                self.footers.add(row)
             self.open.append((tag, row, len(self.pieces), []))
             self.of_tag[tag] += 1
             if tag in LANDMARKS:
@@ -59,9 +62,9 @@ class _Elements(HTMLParser):
         self.of_tag[tag] -= 1
         if tag in LANDMARKS:
             self.landmarks.pop()
-        if tag in TEXT_OF or anchors:
+        if tag in TEXT_OF or anchors or row in self.footers:
             text = "".join(self.pieces[first:])
-            if tag in TEXT_OF:
+            if tag in TEXT_OF or row in self.footers:
                 self.rows[row][3] = text
             if anchors and (year := YEAR.search(text)):
                 for anchor in anchors:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +32,20 @@ def stage_rows(spark: SparkSession, root: str, vertical: str | None = None) -> D
     return df if vertical is None else df.where(F.col("vertical") == vertical)
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(vertical, domain, shot, path, bytes) of screenshots under vertical/domain/shot.ext; empty files are ignored."""
+def first_of(spark: SparkSession, places: list[tuple[str, str]]) -> DataFrame:
+    """The first of the named Parquet tables that can be read, with its name in ``source``; the last one is made-up data and marked as ``synthetic``."""
+    for name, path in places:
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:  # no such table, or none that says what its columns are
+            continue
+        return df.withColumns({"source": F.lit(name), "synthetic": F.lit(name == places[-1][0])})
+    raise ValueError("none of the sources can be read")
+
+
+def images(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """(vertical, domain, shot, path, bytes) of screenshots under vertical/domain/shot.ext, the first ``most`` by path; empty files are ignored."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0").select("path", F.col("length").alias("bytes"))
     part = lambda i: F.element_at(F.split("path", "/"), i)
-    return df.where(F.col("path").rlike(r"(?i)\.(png|jpe?g|webp)$")).select(part(-3).alias("vertical"), part(-2).alias("domain"), F.regexp_replace(part(-1), r"\.[^.]+$", "").alias("shot"), "path", "bytes")
+    df = df.where(F.col("path").rlike(r"(?i)\.(png|jpe?g|webp)$")).select(part(-3).alias("vertical"), part(-2).alias("domain"), F.regexp_replace(part(-1), r"\.[^.]+$", "").alias("shot"), "path", "bytes")
+    return df if most is None else df.orderBy("path").limit(most)

@@ -13,6 +13,24 @@ def write_stage(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("vertical").parquet(root)
 
 
+def document_head(businesses: DataFrame, run_id: str, source: str, queried_at: str) -> DataFrame:
+    """What a discovery says about itself, a row for each vertical, from (vertical, tile, keyword, domain, skip_reason)."""
+    portal = F.col("skip_reason") == "aggregator-profile-only"
+    return businesses.groupBy("vertical").agg(
+        F.lit(run_id).alias("run"), F.lit(source).alias("source"), F.lit(queried_at).alias("queried_at"), F.count_distinct("tile").alias("tiles"), F.count_distinct("keyword").alias("keywords"),
+        F.count(F.lit(1)).alias("raw_results"), F.count("domain").alias("with_domain"), F.count_if(portal).alias("greenfield"),
+    )
+
+
+def write_document(rows: DataFrame, head: DataFrame, root: str) -> None:
+    """A stage's rows and their head (columns with vertical in both), each a table partitioned by vertical; verticals that are not in them stay as they were.
+
+    The head is written last: a run that dies between the two leaves the head of the run before, by which it is seen.
+    """
+    write_stage(rows, f"{root}/rows")
+    write_stage(head, f"{root}/head")
+
+
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
     """One file, every cell quoted, CRLF ends, U+FEFF before the header: the form spreadsheet programs expect."""
     lines = df.withColumn("_line", F.concat_ws(",", *(csv_cell(F.col(c)) for c in df.columns))).withColumn("_part", F.lit(1))

@@ -2,7 +2,8 @@
 
 Only edges move: no adjacency list is collected, minima are pre-aggregated and stored, so that the join
 back to the edges is a broadcast up to a counted size, and beyond it one of two plain shuffles, of which adaptive execution can split a hub; every round is
-stored in the shared folder, and removed when the next one is. Rounds end when the edges no longer change.
+stored in the shared folder, and removed when the next one is. Rounds end when every node that is not the smallest of
+its component has one edge, to a node that has none to a smaller one.
 
 Defined cases: edges of a node to itself and repeated edges count for nothing; edges with a null end are
 left out; an empty table gives an empty result.
@@ -32,17 +33,19 @@ def _star(edges: DataFrame, large: bool, folder: str) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether all of the distinct edges (a, b), a above b, lead to the middle of a star."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("middle")).unionByName(edges.select(F.col("b"), F.lit(0), F.lit(1)).toDF("node", "up", "middle"))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("middle").alias("middle")).where("up > 1 OR (up = 1 AND middle = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component."""
     spark = edges.sparkSession
     folder = shared_dir(spark)
     edges = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", folder)
-    seen = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == seen:
-            break
-        seen, before, folder = mark, folder, shared_dir(spark)
+    while not _are_stars(edges):
+        before, folder = folder, shared_dir(spark)
         edges = stored(_star(_star(edges, True, folder), False, folder), "edges", folder)
         remove(spark, before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

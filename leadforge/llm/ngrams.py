@@ -307,7 +307,8 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def rarity_levels(counted: DataFrame) -> np.ndarray:
     """Levels of all counters from rows (part, counts)."""
     out = np.zeros((1 << (COUNTER_BITS - COUNTER_PART_BITS), 1 << COUNTER_PART_BITS), np.uint16)
-    for row in counted.repartition("part").mapInPandas(_summed, "part int, levels binary").toLocalIterator():
+    # 64 rows of 32 KB, whatever the input: one job brings them, an iterator would be a job for each partition
+    for row in counted.repartition("part").mapInPandas(_summed, "part int, levels binary").collect():
         out[row["part"]] = np.frombuffer(row["levels"], np.uint16)
     return out.reshape(-1)
 
@@ -374,7 +375,7 @@ def key_map(df: DataFrame, key: str) -> np.ndarray:
     lead = F.shiftrightunsigned(key, 64 - MAP_BITS)
     bits = df.select(F.shiftright(lead, MAP_BLOCK_BITS).cast("int").alias("block"), lead.bitwiseAND((1 << MAP_BLOCK_BITS) - 1).cast("int").alias("bit")).distinct()
     out = np.zeros((1 << (MAP_BITS - MAP_BLOCK_BITS), 1 << (MAP_BLOCK_BITS - 3)), np.uint8)
-    for row in bits.groupBy("block").applyInPandas(_map_block, "block int, bits binary").toLocalIterator():
+    for row in bits.groupBy("block").applyInPandas(_map_block, "block int, bits binary").collect():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -400,6 +401,21 @@ def _sets(n: int, wanted=None):
     return load
 
 
+def stars(links: list[tuple[int, int]], node: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """The same components as ``links`` between places of ``node``, every linked node beside the smallest of its component."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (j := up.setdefault(i, i)) != i:
+            up[i] = i = up[j]
+        return i
+
+    for i, j in links:
+        i, j = sorted((root(i), root(j)), key=node.__getitem__)
+        up[j] = i
+    return [(node[i], node[r]) for i in up if (r := root(i)) != i]
+
+
 def _join(percent: int):
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for task in slices(batches, ["block", "low", "high"]):
@@ -407,9 +423,9 @@ def _join(percent: int):
             sets, node = [np.frombuffer(g, np.uint64) for g in task["grams"]], task["node"].tolist()
             side = task["side"].to_numpy()
             label = task["label"].to_numpy() if task["label"].iloc[0] is not None else None
-            found = trie_join(sets, percent, side if side.any() else None, label)
+            found = stars(trie_join(sets, percent, side if side.any() else None, label), node)
             if found:
-                yield pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]})
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     return join
 
@@ -500,8 +516,9 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: in
     links = _links(source, stored(first_tasks(members), "tasks"), n, percent)
     roots = stored(components(links), "roots")
     if (tasks := rest_tasks(members, roots, percent)) is not None:
-        links = links.unionByName(_links(source, tasks, n, percent))
-        roots = stored(components(links), "roots")
+        # what is joined already comes as the stars it became
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(joined.unionByName(_links(source, tasks, n, percent))), "roots")
 
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stored(named.groupBy("root").agg(F.min("first").alias("component")), "least")

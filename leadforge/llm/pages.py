@@ -2,8 +2,9 @@
 
 A page is read once as a stream of tags and text. Elements that name themselves as menus, headers,
 footers, sidebars, notices, adverts, forms or comments (by tag, role, class or id) are left out. If
-the page has articles or a main element, the blocks in them are the text, unless the unnamed blocks beside them
-hold more than BESIDE times as many characters: then the article is a teaser and all blocks are the page's.
+the page has articles or a main element, the blocks in them are the text, unless none of those is prose (a block of
+at least LONG words that are not mostly links) and one beside them is: then the article is a teaser and all blocks are the page's.
+Within an article only a whole known name of a class or id leaves an element out, and in its own header only bylines go.
 
 The other pages have only unnamed blocks. The token streams of the unnamed blocks of every page
 are concatenated by host and the suffixes of those streams sorted; substrings of at least LONG tokens
@@ -12,7 +13,7 @@ boilerplate. Where a page has no other blocks their tokens are removed, and the
 stay. Only the first LONG tokens of a suffix are compared: a longer repeat is a chain of such, so
 the array is cut there and its runs of equal suffixes become a grouping of (host, first tokens),
 pre-aggregated before the shuffle, which no popular host or line can pull into one task. A run that
-is more than two thirds of its page stays: it is a copy, not a frame.
+is more than ``copy_share`` of its page stays: it is a copy, not a frame.
 
 Repeats inside articles are kept, since an article that was published twice is still one.
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import partial
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,11 +40,10 @@ from pyspark.sql import functions as F
 from leadforge.llm.common import stored
 
 LONG, SUPPORT, SHARE = 8, 3, 20
-BESIDE = 3
+COPY = Fraction(2, 3)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 OUTSIDE = frozenset("nav footer aside form script style noscript template iframe object svg canvas audio video button select option textarea dialog head title menu map".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -54,26 +56,34 @@ OUTSIDE_WORDS = frozenset(
 WEAK_WORDS = frozenset("promotion banner notice notices notification alert subscription signup widget widgets comment reply replies share sharing social related recommended toolbar login search".split())
 FILLING = frozenset("bar box block button buttons btn container content count site page post posts area section list item items link links icon icons left right top bottom main article this tools panel inner outer wrap wrapper form header title more module group".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Filling words that may be what an article's own element is about: no part of a known name there.
+OWN_WORDS = frozenset("content page post item title main article this header".split())
+#: What an article's header holds besides its headings and standfirst.
+BYLINE_WORDS = frozenset("byline author authors dateline date time timestamp meta metadata published posted updated reading credit credits tags tag category categories".split())
+#: How a byline without a class begins; a longer block is a standfirst.
+BYLINE = re.compile(r"(?:by|written|posted|published|(?:last )?updated)\b", re.I)
 SIDE_PHRASES = re.compile(r"side[-_]?bar|side[-_]?nav|site[-_]?header|page[-_]?header|paywall", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Reader(HTMLParser):
-    """Blocks of a page as (whether in an article or main element, text)."""
+    """Blocks of a page as (whether in an article or main element, whether prose, text)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, outside, header within an article
+        self.linked = 0
         self.of_tag: Counter[str] = Counter()
         self.count = {"article": 0, "main": 0, "outside": 0, "byline": 0}
-        self.heading = 0
         self.parts: list[str] = []
-        self.blocks: list[tuple[bool, str]] = []
+        self.blocks: list[tuple[bool, bool, str]] = []
 
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in OUTSIDE or (tag == "header" and not self.count["article"] and not self.count["main"]):
             return True
+        if self.count["byline"] and tag in ("time", "address"):
+            return True
         if not attrs or tag in ("html", "body"):
             return False
         a = dict(attrs)
@@ -83,16 +93,23 @@ class _Reader(HTMLParser):
         names = [{w.lower() for w in WORDS.findall(name)} for name in named.split()]
         if tag in ("article", "main"):
             return any(words & COMMENT_WORDS for words in names)
-        if (a.get("role") or "").lower() in OUTSIDE_ROLES or SIDE_PHRASES.search(named):
+        if (a.get("role") or "").lower() in OUTSIDE_ROLES:
             return True
-        return any(words & OUTSIDE_WORDS or (words & WEAK_WORDS and words <= WEAK_WORDS | FILLING) for words in names)
+        if self.count["article"] or self.count["main"]:
+            if self.count["byline"] and any(words & BYLINE_WORDS for words in names):
+                return True
+            known = OUTSIDE_WORDS | WEAK_WORDS
+            return any(map(SIDE_PHRASES.fullmatch, named.split())) or any(words & known and words <= known | (FILLING - OWN_WORDS) for words in names)
+        return bool(SIDE_PHRASES.search(named)) or any(words & OUTSIDE_WORDS or (words & WEAK_WORDS and words <= WEAK_WORDS | FILLING) for words in names)
 
     def _close_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text:
-                self.blocks.append((bool(self.count["article"] or self.count["main"]), text))
-            self.parts = []
+            many = text.count(" ") + 1 >= LONG
+            if text and (many or not self.count["byline"] or not BYLINE.match(text)):
+                prose = many and 2 * self.linked < len(text)
+                self.blocks.append((bool(self.count["article"] or self.count["main"]), prose, text))
+            self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -105,7 +122,6 @@ class _Reader(HTMLParser):
         byline = tag == "header" and not outside
         self.count["outside"] += outside
         self.count["byline"] += byline
-        self.heading += tag in HEADINGS
         if tag in ("article", "main"):
             self.count[tag] += 1
         self.open.append((tag, outside, byline))
@@ -121,15 +137,16 @@ class _Reader(HTMLParser):
             self.of_tag[t] -= 1
             self.count["outside"] -= outside
             self.count["byline"] -= byline
-            self.heading -= t in HEADINGS
             if t in ("article", "main"):
                 self.count[t] -= 1
             if t == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.count["outside"] and (not self.count["byline"] or self.heading):
+        if not self.count["outside"]:
             self.parts.append(data)
+            if self.of_tag["a"]:
+                self.linked += len(" ".join(data.split()))
 
 
 def split_blocks(html: str | None) -> tuple[bool, list[str], list[str]]:
@@ -138,10 +155,12 @@ def split_blocks(html: str | None) -> tuple[bool, list[str], list[str]]:
     reader.feed(html or "")
     reader.close()
     reader._close_block()
-    inside, beside = [t for k, t in reader.blocks if k], [t for k, t in reader.blocks if not k]
-    if inside and BESIDE * sum(map(len, inside)) >= sum(map(len, beside)):
+    inside, beside = [t for k, _, t in reader.blocks if k], [t for k, _, t in reader.blocks if not k]
+    teaser = any(prose for k, prose, _ in reader.blocks if not k) and not any(prose for k, prose, _ in reader.blocks if k)
+    if inside and not teaser:
         return True, inside, beside
-    return False, [t for _, t in reader.blocks], [t for _, t in reader.blocks]
+    blocks = [t for _, _, t in reader.blocks]
+    return False, blocks, blocks
 
 
 def blocks_of(html: str | None) -> tuple[bool, list[str]]:
@@ -166,7 +185,7 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "named": pdf["named"], "heads": heads})
 
 
-def _unique_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unique_runs(copy_share: Fraction, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = []
         for blocks, covered in zip(pdf["unnamed"], pdf["repeats"]):
@@ -179,14 +198,14 @@ def _unique_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             inside = np.cumsum(gone)[:-1] > 0
             starts, ends = np.flatnonzero(np.diff(inside, prepend=False, append=False)).reshape(-1, 2).T
             for a, b in zip(starts, ends):
-                if 3 * (b - a) > 2 * len(tokens):
+                if int(b - a) > copy_share * len(tokens):
                     inside[a:b] = False
             texts.append(" ".join(t for t, x in zip(tokens, inside) if not x))
         yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts})
 
 
-def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: id, url, text."""
+def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", copy_share: Fraction = COPY) -> DataFrame:
+    """One row per page: id, url, text. A repeated run of over ``copy_share`` of a page that markup does not decide on is a copy and stays."""
     key_type = df.schema[key].dataType.simpleString()
     read = df.select(df[key].alias("id"), df[url].alias("url"), df[html].alias("html")).mapInPandas(_parse, f"id {key_type}, url string, named boolean, blocks array<string>, unnamed array<string>")
     read = stored(read, "blocks")
@@ -201,4 +220,4 @@ def main_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     covered = shown.where(~F.col("named")).join(repeats, ["host", "head"]).groupBy("page").agg(F.collect_set("head").alias("repeats"))
     bare = read.where(~F.col("named")).withColumn("page", F.xxhash64("id", "url", "named", "unnamed"))
     joined = bare.join(covered, "page", "left").select("id", "url", "unnamed", "repeats")
-    return done.unionByName(joined.mapInPandas(_unique_runs, f"id {key_type}, url string, text string"))
+    return done.unionByName(joined.mapInPandas(partial(_unique_runs, copy_share), f"id {key_type}, url string, text string"))

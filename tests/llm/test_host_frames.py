@@ -51,6 +51,22 @@ def test_what_markup_decides(html, text):
     assert pages.blocks_of(html)[1] == text
 
 
+LINKS = {n: "".join(f"<li><a href='/{i}'>link{i}</a></li>" for i in range(n)) for n in (50, 70)}
+
+
+@pytest.mark.parametrize("html,text", [
+    *((f"<article><p>{words('told', 20)}</p></article><ul>{x}</ul>", [words("told", 20)]) for x in LINKS.values()),
+    (f"<article><p>{words('told', 20)}</p></article><div><a href='/'>{words('menu', 90)}</a></div>", [words("told", 20)]),
+    (f"<article><p>{words('told', 8)}</p></article><div>{words('more', 90)}</div>", [words("told", 8)]),
+    (f"<article><a href='/more'>{words('read', 9)}</a></article><div>{words('body', 9)}</div>", [words("read", 9), words("body", 9)]),
+    ("<article><div class='modal-verbs'>can may</div><p class='navigation-history'>compass</p><div class='login-content'>user</div><div id='cookie-banner'>yes</div></article>", ["can may", "compass", "user"]),
+    ("<article><header><h1>Head</h1><p>Standfirst</p><p class='byline'>By A B</p><time>today</time><address>here</address></header><p>Body</p></article>", ["Head", "Standfirst", "Body"]),
+    ("<div class='modal-verbs'>can</div><div class='text'>may</div>", ["may"]),
+])
+def test_shapes_and_names_decide_not_sizes(html, text):
+    assert pages.blocks_of(html)[1] == text
+
+
 def test_unclosed_and_stray_tags_take_linear_time():
     began = time.perf_counter()
     html = "<div>" * 20_000 + "<p>text</p>" + "</span>" * 20_000 + "</div>" * 30_000 + "<p>end</p>"

@@ -12,13 +12,25 @@ from leadforge.llm.pieces import encoded
 from leadforge.llm.quality import quality_filter
 
 
+def _narrow(spark: SparkSession) -> None:
+    """Whole texts pass through every stage, so fewer rows are held at once where the session says nothing else: batches of the
+    Parquet reader (default 4,096 rows, which one long text makes large) and row groups of the writer (default 128 MB a task)."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) == 4096:
+        spark.conf.set(name, 256)
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", 16 << 20)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    _narrow(spark)
     return quality_filter(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    _narrow(spark)
     return drop_copies(docs)
 
 

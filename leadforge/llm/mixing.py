@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leadforge.llm.common import n_words, stored
+from leadforge.llm.common import n_words, small, stored
 
 WEIGHTS = (5, 2, 1)
 #: Schedule (begin, end) of the sources of each weight: heavy sources early, light ones late.
@@ -72,7 +72,8 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     offsets = stored(offsets.select(F.col("mix_source").alias("mix_s"), F.col("mix_bucket").alias("mix_b"), F.col("before").alias("mix_before"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("weight_no").alias("mix_weight_no")), "offsets")
     inner = W.partitionBy("mix_source", "mix_bucket").orderBy("mix_order", "mix_size").rowsBetween(W.unboundedPreceding, -1)
     out = sized.withColumn("mix_within", F.coalesce(F.sum("mix_size").over(inner), F.lit(0)))
-    out = out.join(offsets, F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
+    # at most 4,096 rows for each source: broadcast up to a counted size, so that texts don't move for it
+    out = out.join(small(offsets), F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_bucket") == F.col("mix_b")))
     out = out.withColumn("mix_start", F.col("mix_before") + F.col("mix_within"))
     counts = [F.when((taken(k) > 0) & (2 * taken(k) >= F.col("mix_size")), position(F.lit(k))) for k in (0, 1)]
     out = out.withColumns({"mix_positions": F.array(*counts), "mix_taken": taken(0) + taken(1)})

@@ -117,5 +117,6 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", block_t
     """Key and n_tokens of every row: written to token files in the shared folder, counted by the scan."""
     folder = f"{shared_dir(df.sparkSession)}/tokens"
     files, order = write_tokens(df, folder, key, text)
-    counted = count_tokens(files, folder, block_tokens)
+    # sorted runs of paths and ordinals shrink to nothing in files: the planner would take millions of rows for few and send them to the driver
+    counted = count_tokens(files, folder, block_tokens).hint("merge")
     return order.join(counted, ["path", "ordinal"], "left").select(F.col("id").alias(key), "n_tokens")

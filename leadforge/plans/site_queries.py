@@ -88,7 +88,7 @@ _SHOWN = f"SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS n, {_D} AS d FROM
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, _SITES)
+    return view(spark, sf_dir, _SITES, "c_custkey")
 
 
 @query(f"""WITH s AS ({_SHOWN}), c AS (

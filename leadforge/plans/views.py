@@ -52,9 +52,21 @@ SELECT doc_id AS k, CASE quality * 2 + toxic WHEN 0 THEN 'C' WHEN 1 THEN 'X' WHE
 """
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+#: Rows for each task where much is made of a row.
+SPREAD_ROWS = 2_000
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` dealt over as many tasks as its rows deserve: a few MB are one task of a scan, whatever is made of each row after it."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(most, -(-df.count() // SPREAD_ROWS))), by)
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str, spread_by: str | None = None) -> DataFrame:
+    """A text over the tables; with ``spread_by``, a column of each, their rows are dealt over many tasks before."""
     names = [n for n in TABLES if "{" + n + "}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return spark.sql(sql, **{n: spread(t, spread_by) if spread_by else t for n, t in tables.items()})
 
 
 def duck(sql: str) -> str:

@@ -216,7 +216,7 @@ def dead_links(links: DataFrame, statuses: DataFrame, key: str, most: int = 40)
     """Links of a site by kind, and how many of its first internal ones answered with an error; of several statuses of an address the largest counts."""
     statuses = statuses.groupBy("href").agg(F.max("status").alias("status"))
     place = F.row_number().over(W.partitionBy(key).orderBy(F.col("kind") != "internal", "pos"))
-    asked = links.withColumn("_asked", (F.col("kind") == "internal") & (place <= most)).join(statuses, "href", "left")
+    asked = links.withColumn("_asked", (F.col("kind") == "internal") & (place <= most)).join(statuses.hint("merge"), "href", "left")
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("internal", "external", "social")]
     return asked.groupBy(key).agg(F.count(F.lit(1)).alias("total"), *kinds, F.count_if(F.col("_asked") & (F.col("status") >= 400)).alias("dead"))
 

@@ -15,6 +15,8 @@ CREDITS = (
 )
 #: Mail domains that belong to no business.
 BAD_EMAIL_DOMAINS = ("example.com", "sentry.io", "wixpress.com", "cloudflare.com", "schema.org", "w3.org", "google.com", "googleapis.com")
+#: Elements that links and contacts are read from.
+LINK_TAGS, CONTACT_TAGS = frozenset({"a"}), frozenset({"a", "body"})
 
 
 def region(landmarks: Column) -> Column:
@@ -34,7 +36,8 @@ def absolute(href: Column, base: Column) -> Column:
 def links(elements: DataFrame, pages: DataFrame, key: str, url: str = "url") -> DataFrame:
     """(key, pos, href, text, region, kind, visible): first of each address in document order."""
     a = elements.where((F.col("tag") == "a") & (F.trim(F.coalesce(F.col("attrs")["href"], F.lit(""))) != "") & ~F.lower(F.trim(F.col("attrs")["href"])).startswith("javascript:"))
-    a = a.join(pages.select(key, F.col(url).alias("base")), key)
+    # addresses of all pages are a broadcast that grows with the input, however small their table is on disk; the window below needs the shuffle anyway
+    a = a.join(pages.select(key, F.col(url).alias("base")).hint("merge"), key)
     raw = F.trim(F.col("attrs")["href"])
     address = F.when(urls.scheme(raw).isin("mailto:", "tel:"), raw).otherwise(urls.clean_href(absolute(raw, F.col("base"))))
     a = a.withColumns({"href": address, "kind": urls.kind(address, urls.registrable(F.col("base"))), "region": region(F.col("landmarks"))})
@@ -58,10 +61,20 @@ def probe_queue(links_: DataFrame, key: str, most: int = 40) -> DataFrame:
     return links_.where("kind = 'internal'").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def agency_credits(elements: DataFrame, key: str) -> DataFrame:
-    """(key, name, raw_text): the first credit line of a footer, which is one by its tag or by a class or id that says so."""
+def is_footer() -> Column:
+    """Whether an element is a footer by its tag, or by a class or id that says so."""
     named = F.coalesce(F.contains(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"]), F.lit("footer")), F.lit(False))
-    foot = elements.where(((F.col("tag") == "footer") | named) & (F.col("text") != ""))
+    return ((F.col("tag") == "footer") | named) & (F.col("text") != "")
+
+
+def credit_elements(elements: DataFrame) -> DataFrame:
+    """The elements that :func:`links` and :func:`agency_credits` read."""
+    return elements.where(F.col("tag").isin(*LINK_TAGS) | is_footer())
+
+
+def agency_credits(elements: DataFrame, key: str) -> DataFrame:
+    """(key, name, raw_text): the first credit line of a footer."""
+    foot = elements.where(is_footer())
     raw = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in CREDITS))
     name = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in CREDITS))
     return foot.where(name.isNotNull()).groupBy(key).agg(F.min_by(strings.tidy_name(name), "pos").alias("name"), F.min_by(F.trim(raw), "pos").alias("raw_text"))

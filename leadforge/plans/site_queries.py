@@ -102,7 +102,7 @@ UNION ALL SELECT k, 'instagram', CASE k % 6 WHEN 0 THEN 'shop.' ELSE 'p.studio'
 UNION ALL SELECT k, 'facebook', CASE k % 7 WHEN 1 THEN 'dialog.' ELSE 'page' END || n, 0 FROM s WHERE k % 7 IN (1, 2))
 SELECT k, kind, norm, min(stage) AS stage FROM c GROUP BY k, kind, norm""")
 def site_contacts(spark, sf_dir):
-    return links.contacts(html_elements(sites(spark, sf_dir), "k", "html"), "k").select("k", "kind", "norm", "stage")
+    return links.contacts(html_elements(sites(spark, sf_dir), "k", "html", links.CONTACT_TAGS), "k").select("k", "kind", "norm", "stage")
 
 
 @query(f"""WITH s AS ({_SHOWN}), l AS (SELECT k, 2 + (k % 3 > 0)::INTEGER + CASE WHEN k % 10 = 0 THEN 45 ELSE 0 END AS internal, 1 + (k % 5 = 0)::INTEGER AS external,

@@ -52,6 +52,6 @@ def write_outputs(pages: DataFrame, root: str, key: str = "page_id", url: str =
     signals = kept(page_signals(of("signals"), key), "signals")
     links = kept(link_rows.links(of("links"), pages, key, url), "links")
     contacts = kept(link_rows.contacts(of("contacts"), key), "contacts")
-    sited = contacts.join(pages.select(key, urls.registrable(pages[url]).alias("domain")), key)
+    sited = contacts.join(pages.select(key, urls.registrable(pages[url]).alias("domain")).hint("merge"), key)
     owned = report.contact_owner(sited.select(key, "domain", "kind", "value", F.col("norm").alias("key"), F.lit(None).cast("string").alias("credit")))
     return Outputs(signals, links, contacts, kept(owned.drop("credit"), "contacts_owned"))

@@ -113,21 +113,23 @@ def site_links(spark, sf_dir):
     """Counts of links, of those whose status is asked, and of the dead ones among these: some sites have lost their terms, and an address may have several statuses."""
     pages = sites(spark, sf_dir)
     folder = new_folder(spark, "links")  # pages are parsed once for the three counts
-    links.links(html_elements(pages, "k", "html"), pages, "k").write.parquet(folder)
+    links.links(html_elements(pages, "k", "html", links.LINK_TAGS), pages, "k").write.parquet(folder)
     found = spark.read.parquet(folder)
     gone = pages.where("k % 13 = 0").select(F.concat(F.lit("https://www.site"), F.col("k").cast("string"), F.lit(".in/terms")).alias("href"), F.explode(F.array(F.lit(200), F.lit(404))).alias("status"))
     asked = links.probe_queue(found, "k").groupBy("k").agg(F.count(F.lit(1)).alias("asked"))
     dead = assembly.dead_links(found, gone, "k").select("k", "dead")
-    return links.link_counts(found, "k").join(asked, "k").join(dead, "k").select("k", "total", "internal", "external", "nav", "footer", "socials", "asked", "dead")
+    # a row of each for every site: joined by a shuffle, since their files look small enough for the driver long after they are not
+    return links.link_counts(found, "k").join(asked.hint("merge"), "k").join(dead.hint("merge"), "k").select("k", "total", "internal", "external", "nav", "footer", "socials", "asked", "dead")
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, domain, name, credit_domain, raw_text): who built a site, by its footer."""
-    pages = sites(spark, sf_dir)
-    elements = html_elements(pages, "k", "html")
-    found = links.links(elements, pages, "k").join(pages.select("k", urls.registrable(F.col("url")).alias("own_domain")), "k")
+    pages, folder = sites(spark, sf_dir), new_folder(spark, "elements")
+    links.credit_elements(html_elements(pages, "k", "html")).write.parquet(folder)  # pages are parsed once for links and lines
+    elements = spark.read.parquet(folder)
+    found = links.links(elements, pages, "k").join(pages.select("k", urls.registrable(F.col("url")).alias("own_domain")).hint("merge"), "k")
     domains = stages.credit_domains(found.withColumn("domain", urls.registrable(F.col("href"))), "k").withColumnRenamed("domain", "credit_domain")
-    return links.agency_credits(elements, "k").join(domains, "k", "left").select("k", F.concat(F.lit("site"), F.col("k").cast("string"), F.lit(".in")).alias("domain"), "name", "credit_domain", "raw_text")
+    return links.agency_credits(elements, "k").join(domains.hint("merge"), "k", "left").select("k", F.concat(F.lit("site"), F.col("k").cast("string"), F.lit(".in")).alias("domain"), "name", "credit_domain", "raw_text")
 
 
 _CREDITS = f"""SELECT k, 'site' || n || '.in' AS domain, CASE k % 5 WHEN 0 THEN 'Pixel Studio' ELSE 'Old Mill' END AS name, CASE k % 5 WHEN 0 THEN 'pixel' || k % 3 || '.com' END AS credit_domain,
@@ -144,7 +146,9 @@ SELECT coalesce(credit_domain, 'old mill media') AS agency, CASE WHEN any_value(
 count(*) AS built_in_run, count(DISTINCT domain) AS clients FROM c GROUP BY 1""")
 def agency_directory(spark, sf_dir):
     """Agencies by domain or resolved name, and how many sites are their clients."""
-    rows = credits(spark, sf_dir).select(F.col("k").alias("lead_no"), "domain", F.col("name").alias("credit_name"), "credit_domain", "raw_text")
+    folder = new_folder(spark, "credits")
+    credits(spark, sf_dir).write.parquet(folder)  # found once for the agencies and their clients
+    rows = spark.read.parquet(folder).select(F.col("k").alias("lead_no"), "domain", F.col("name").alias("credit_name"), "credit_domain", "raw_text")
     agencies, clients = report.agency_directory(rows, [("old mill", "Old Mill Media")])
     return agencies.join(clients.groupBy("agency").agg(F.count(F.lit(1)).alias("clients")), "agency")
 
@@ -181,7 +185,7 @@ def site_signals(spark, sf_dir):
         F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("viewport_meta"), F.when(k % 11 == 0, "given").alias("redesigned_given"),
     )
     page = signals.page_signals(html_elements(pages, "k", "html"), "k")
-    out = signals.with_capture(page.join(measured, "k"), YEAR, TODAY, market=[("avada", "ThemeForest")])
+    out = signals.with_capture(page.join(measured.hint("merge"), "k"), YEAR, TODAY, market=[("avada", "ThemeForest")])
     return out.select("k", "copyright", "jquery", "bootstrap", "slider", "generator", "theme", "domainAge", "wayback", "redesigned", "viewport", "overflow", "tapTargets", "lcp", "pageWeight", "heroVideo", "https", "mixedContent", "brokenImages", "whatsapp", "quoteForm", "blog")
 
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from leadforge.operators.report import latest
@@ -26,32 +25,23 @@ def order_of(mark: tuple) -> tuple[str, int]:
     return mark[3] or "", -1 if mark[4] is None else int(mark[4])
 
 
-def plain(value):
-    """Nulls of a frame as None, truths as Python's."""
-    if value is None or value is pd.NA or (isinstance(value, float) and value != value):
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
 class LatestMark(StatefulProcessor):
-    """Holds one mark for each key and passes on a mark that replaces it."""
+    """Holds one mark for each key and passes on a mark that replaces it. Rows come as rows: a frame for each domain costs more than its few marks."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "human_tier string, pitch boolean, note string, reviewed_at string, seq bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.mark.get()
         best = tuple(held) if held is not None else None
         changed = False
-        for pdf in rows:
-            for row in pdf[COLUMNS[1:]].astype(object).itertuples(index=False, name=None):
-                mark = tuple(map(plain, row))
-                mark = (*mark[:4], None if mark[4] is None else int(mark[4]))
-                if best is None or order_of(mark) > order_of(best):
-                    best, changed = mark, True
+        for row in rows:
+            mark = tuple(row)[1:]
+            if best is None or order_of(mark) > order_of(best):
+                best, changed = mark, True
         if changed:
             self.mark.update(best)
-            yield pd.DataFrame([(key[0], *best)], columns=COLUMNS).astype({"pitch": "boolean", "seq": "Int64"})
+            yield Row(**dict(zip(COLUMNS, (key[0], *best))))
 
     def close(self) -> None:
         pass
@@ -60,8 +50,7 @@ class LatestMark(StatefulProcessor):
 def keep_marks(marks: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Works through what is new in a stream of marks and stops; ``table`` gets the changes of each batch."""
     marks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    # a frame holds whole numbers beside nulls as floats: they travel as text
-    changes = marks.select(*COLUMNS[:-1], marks["seq"].cast("string").alias("seq")).groupBy("domain").transformWithStateInPandas(LatestMark(), MARKS, "Append", "None")
+    changes = marks.select(*COLUMNS).groupBy("domain").transformWithState(LatestMark(), MARKS, "Append", "None")
     return changes.writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

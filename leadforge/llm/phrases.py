@@ -2,11 +2,12 @@
 
 Texts lose upper-case A-Z and are split into pieces and words in tasks; a word is the 64-bit hash of its bytes from there on (two frequent
 words of a language with one hash are an error that names the remedy, another ``multiplier``). Words and pairs are counted by hash with sums
-before the shuffle, and so are runs of two and three words; one that is too rare abandons every suffix that it leads. What is left of a suffix, at most ``longest`` words, is
-routed by its language and three leading words, equal suffixes of a task as one row with a count. Each task sorts pointers to its suffixes by
+before the shuffle. Longer runs are not passed on to be counted: each task adds the sightings of runs whose pairs are all frequent to a table of hashed byte
+counters, and the sums of these tables say which runs can't be frequent. A suffix ends before it becomes such a run, and one whose first three words are one is
+abandoned. What is left of a suffix, at most ``longest`` words, is routed by its language and three leading words, equal suffixes of a task as one row with a count. Each task sorts pointers to its suffixes by
 multikey three-way quicksort: the part equal to a pivot at some depth is one phrase and its weight is the phrase's count; parts lighter than
-``least`` are abandoned unsorted. Tasks drop what is rare with the help of bit maps of fixed size (2 and 4 MB, whatever the data); a full map spares
-less, and results stay exact.
+``least`` are abandoned unsorted. Tasks drop what is rare with the help of bit maps of bounded size (words 2 MB, pairs 4 MB, longer runs 16 MB at most, from 128 MB of counters
+in a task at most); a full map spares less, and results stay exact.
 
 Edge cases: a null text counts as empty, a null language as ``und``. Bytes that are not UTF-8 do not occur in Spark strings. Repeated rows count
 each. Fewer than ``least`` sightings give no candidate; an empty table gives no rows. Ties of score and count are ordered by the phrase's
@@ -16,6 +17,7 @@ bytes. Further columns are not read, whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +37,10 @@ LOWER[65:91] += 32
 BREAK = re.compile(r"[.,;:!?\n-\r]")
 #: Characters that are split at once: some 100 MB of whole numbers.
 CHUNK = 1 << 20
-#: Bits of the maps of frequent words, and of frequent pairs and triples.
-WORD_BITS, RUN_BITS = 24, 25
+#: Bits of the maps of frequent words and of frequent pairs, and the least and most of that of longer runs.
+WORD_BITS, PAIR_BITS, RUN_BITS = 24, 25, (16, 27)
+#: A counter of a task that is full may stand for any number of sightings.
+FULL = 255
 #: Different rows that a task gathers before it passes them on: some 50 MB.
 GATHERED = 1_000_000
 #: Suffix rows of one sorting task, about.
@@ -112,6 +116,51 @@ def bit_map(rows: DataFrame, columns: list[str], bits: int) -> np.ndarray:
     return out
 
 
+def run_map(docs: DataFrame, pairs: np.ndarray, least: int, longest: int, bits: int) -> np.ndarray:
+    """Bit map of the runs of three to ``longest`` words that may be seen ``least`` times: runs whose pairs are all marked are counted in 2^``bits`` hashed counters.
+
+    Tasks pass on their counters in compressed pieces, at most 64 KB each and 256 at least, so rows depend on tasks and not on runs. Counters that runs share
+    only count more, so no frequent run is missed.
+    """
+    pieces = max(256, 1 << bits >> 16)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(1 << bits, np.uint8)
+        for pdf in batches:
+            for lang, texts in by_language(pdf):
+                h = np.concatenate((tokens(texts)[0], np.zeros(longest, np.int64)))
+                some = two = known_runs(h, 2, pairs, lang)
+                for n in range(3, longest + 1):
+                    some = some[:-1] & two[n - 2 :]
+                    at = some.nonzero()[0]
+                    slot, seen = np.unique(slots([h[at + i] for i in range(n)], lang, bits), return_counts=True)
+                    cells[slot] = np.minimum(cells[slot] + seen, FULL)
+        cells = cells.reshape(pieces, -1)
+        for a in range(0, pieces, 32):
+            if used := [i for i in range(a, a + 32) if cells[i].any()]:
+                yield pd.DataFrame({"piece": used, "cells": [zlib.compress(cells[i].tobytes(), 1) for i in used]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for piece, cells in zip(pdf["piece"], pdf["cells"]):
+                n = np.frombuffer(zlib.decompress(cells), np.uint8).astype(np.int64)
+                total[piece] = total.get(piece, 0) + np.where(n == FULL, max(least, FULL), n)
+        if total:
+            yield pd.DataFrame({"piece": list(total), "bits": [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]})
+
+    found = docs.mapInPandas(count, "piece int, cells binary").repartition("piece").mapInPandas(add, "piece int, bits binary").toPandas()
+    out = np.zeros((pieces, 2 ** (bits - 3) // pieces), np.uint8)
+    for piece, part in zip(found["piece"], found["bits"]):
+        out[piece] = np.frombuffer(part, np.uint8)
+    return out.reshape(-1).view("<u4")
+
+
+def bits_of(known: np.ndarray) -> int:
+    """The bits of a bit map's places."""
+    return len(known).bit_length() + 4
+
+
 def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
@@ -198,30 +247,30 @@ def known_runs(h: np.ndarray, n: int, known: np.ndarray, lang: str) -> np.ndarra
     columns = [h[i : len(h) - n + 1 + i] for i in range(n)]
     out = np.logical_and.reduce([c != 0 for c in columns])
     at = out.nonzero()[0]
-    out[at] = marked(known, slots([c[at] for c in columns], lang, WORD_BITS if n == 1 else RUN_BITS))
+    out[at] = marked(known, slots([c[at] for c in columns], lang, bits_of(known)))
     return out
 
 
-def run_counts(docs: DataFrame, n: int, known: np.ndarray) -> DataFrame:
-    """(lang, h1 .. hn, f) of runs of ``n`` words, whose first and last ``n`` - 1 words the map marks."""
-    names = [f"h{i}" for i in range(1, n + 1)]
+def pair_counts(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """(lang, h1, h2, f) of pairs of words that the map marks."""
+    names = ["h1", "h2"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Gatherer(names)
         for pdf in batches:
             for lang, texts in by_language(pdf):
-                h = np.concatenate((tokens(texts)[0], np.zeros(n, np.int64)))
-                some = known_runs(h, n - 1, known, lang)
+                h = np.append(tokens(texts)[0], 0)
+                some = known_runs(h, 1, known, lang)
                 at = (some[:-1] & some[1:]).nonzero()[0]
-                held.add(lang, [h[at + i] for i in range(n)])
+                held.add(lang, [h[at], h[at + 1]])
             yield from held.full()
         yield from held.out()
 
-    return docs.mapInPandas(run, f"lang string, {', '.join(f'{c} bigint' for c in names)}, f bigint").groupBy("lang", *names).agg(F.sum("f").alias("f"))
+    return docs.mapInPandas(run, "lang string, h1 bigint, h2 bigint, f bigint").groupBy("lang", *names).agg(F.sum("f").alias("f"))
 
 
-def suffixes(docs: DataFrame, triples: np.ndarray, longest: int) -> DataFrame:
-    """(lang, h1 .., f): suffixes of pieces whose first three words are marked, cut at ``longest`` words and before the first three that are not; 0 after the end."""
+def suffixes(docs: DataFrame, pairs: np.ndarray, runs: np.ndarray, longest: int) -> DataFrame:
+    """(lang, h1 .., f): suffixes of pieces whose first three words and their pairs are marked, cut at ``longest`` words and before the first pair or run from their start that is not; 0 after the end."""
     names = [f"h{i}" for i in range(1, longest + 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,12 +278,15 @@ def suffixes(docs: DataFrame, triples: np.ndarray, longest: int) -> DataFrame:
         for pdf in batches:
             for lang, texts in by_language(pdf):
                 h = np.concatenate((tokens(texts)[0], np.zeros(2 * longest, np.int64)))
-                some = known_runs(h, 3, triples, lang)
-                at = some.nonzero()[0]
-                columns, goes_on = [h[at + k] for k in range(3)], np.ones(len(at), bool)
+                two = known_runs(h, 2, pairs, lang)
+                at = (two[:-1] & two[1:]).nonzero()[0]
+                at = at[marked(runs, slots([h[at + k] for k in range(3)], lang, bits_of(runs)))]
+                columns, on = [h[at + k] for k in range(3)], np.arange(len(at))
                 for k in range(3, longest):
-                    goes_on = goes_on & some[at + k - 2]
-                    columns.append(np.where(goes_on, h[at + k], 0))
+                    on = on[two[at[on] + k - 1]]
+                    on = on[marked(runs, slots([*(c[on] for c in columns), h[at[on] + k]], lang, bits_of(runs)))]
+                    columns.append(np.zeros(len(at), np.int64))
+                    columns[k][on] = h[at[on] + k]
                 held.add(lang, columns)
             yield from held.full()
         yield from held.out()
@@ -288,9 +340,12 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     docs = df.select(F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[lang_col], F.lit("und")).alias("lang"))
     clash = F.when((F.col("word") != F.col("other")) & (F.col("h1") != 0), F.raise_error(F.lit("two words have one hash: take another multiplier"))).otherwise(F.col("word"))
     words = stored(word_counts(docs).where((F.col("f") >= least) | (F.col("h1") == 0)).select("lang", "h1", clash.alias("word"), "f"), "words")
-    pairs = stored(run_counts(docs, 2, bit_map(words.where("h1 <> 0"), ["h1"], WORD_BITS)).where(F.col("f") >= least), "pairs")
-    triples = stored(run_counts(docs, 3, bit_map(pairs, ["h1", "h2"], RUN_BITS)).where(F.col("f") >= least), "triples")
-    tails = stored(suffixes(docs, bit_map(triples, ["h1", "h2", "h3"], RUN_BITS), longest), "suffixes")
+    pairs = stored(pair_counts(docs, bit_map(words.where("h1 <> 0"), ["h1"], WORD_BITS)).where(F.col("f") >= least), "pairs")
+    # a sixteenth of what makes a run frequent comes to a counter by chance, until the table has its full size
+    bits = (16 * (pairs.agg(F.sum("f")).first()[0] or 0) // max(least, 1)).bit_length()
+    two = bit_map(pairs, ["h1", "h2"], PAIR_BITS)
+    runs = run_map(docs, two, least, longest, min(max(bits, RUN_BITS[0]), RUN_BITS[1]))
+    tails = stored(suffixes(docs, two, runs, longest), "suffixes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tails.count() // SORTED))
     longer = long_phrases(tails.repartition(parts, "lang", "h1", "h2", "h3"), least, longest)
     found = words.where("h1 <> 0").select("lang", F.array("h1").alias("hs"), "f").unionByName(pairs.select("lang", F.array("h1", "h2").alias("hs"), "f")).unionByName(longer)
